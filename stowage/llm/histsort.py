@@ -116,7 +116,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
             "text_crc32": F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long"),
         }
     )
-    keys = cut(keyed.select("_key_hash", "d", "size"))
+    keys = cut(keyed.select("_key_hash", "_key_id", "size"))
     per_shard = max(1, min(MAX_PARTS, -(-keys.count() // (shards * PART_ROWS))))
     cuts = splitters(keys, shards * per_shard)
     key = lambda pair: (F.col("_key_hash") > pair[0]) | ((F.col("_key_hash") == pair[0]) & (F.col("_key_id") >= pair[1]))
@@ -124,14 +124,14 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     inner = [cuts[i * per_shard : (i + 1) * per_shard - 1] for i in range(shards)]
     if per_shard > 1:
         lists = F.array(*(F.array(*(F.struct(F.lit(h).alias("h"), F.lit(d).alias("d")) for h, d in own)) for own in inner))
-        part = F.size(F.filter(F.element_at(lists, F.col("shard") + 1), lambda s: s <= F.struct("_key_hash", "d")))
+        part = F.size(F.filter(F.element_at(lists, F.col("shard") + 1), lambda s: s <= F.struct(F.col("_key_hash").alias("h"), F.col("_key_id").alias("d"))))
     else:
         part = F.lit(0)
     placed = keyed.withColumn("shard", shard).withColumn("_part", part)
     held = cut(keys.withColumn("shard", shard).withColumn("_part", part).groupBy("shard", "_part").agg(F.count("*").alias("n")))
     before = held.select("shard", "_part", (F.sum("n").over(W.partitionBy("shard").orderBy("_part")) - F.col("n")).alias("_before"))
-    own = F.row_number().over(W.partitionBy("shard", "_part").orderBy("_key_hash", "d")) - 1
-    return placed.withColumn("_own", own).join(before, ["shard", "_part"]).withColumn("slot", (F.col("_own") + F.col("_before")).cast("long")).drop("_key_hash", "d", "_part", "_own", "_before")
+    own = F.row_number().over(W.partitionBy("shard", "_part").orderBy("_key_hash", "_key_id")) - 1
+    return placed.withColumn("_own", own).join(before, ["shard", "_part"]).withColumn("slot", (F.col("_own") + F.col("_before")).cast("long")).drop("_key_hash", "_key_id", "_part", "_own", "_before")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
