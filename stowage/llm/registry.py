@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, histsort, linededup, minhash, packing, rabitq, spacedseed
+from . import bpe, histsort, linededup, minhash, packing, paragraphs, rabitq, spacedseed, toxicity
 
 QUERIES = {
     "op1_rotated_codes": rabitq.op1_rotated_codes,
     "op3_histogram_sort": histsort.op3_histogram_sort,
     "op4_heap_bpe": bpe.op4_heap_bpe,
+    "op5_paragraph_minhash": paragraphs.op5_paragraph_minhash,
+    "op6_ordinal_toxicity": toxicity.op6_ordinal_toxicity,
     "op7_line_chunks": linededup.op7_line_chunks,
     "op8_minhash_inverted_join": minhash.op8_minhash_inverted_join,
     "op9_length_buckets": packing.op9_length_buckets,

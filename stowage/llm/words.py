@@ -74,10 +74,10 @@ def rounds(offsets: np.ndarray, size: int = ROUND) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the number of words of each row."""
+def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and the number of words of each row; ``space`` marks the bytes between words."""
     inside = np.zeros(len(data) + 2, bool)
-    np.logical_not(SPACE[data], out=inside[1:-1])
+    np.logical_not(space[data], out=inside[1:-1])
     edge = inside[1:] & ~inside[:-1]
     stop = inside[:-1] & ~inside[1:]
     cuts = offsets[1:-1]
