@@ -27,25 +27,27 @@ from .common import cut, table
 MODULUS, MIN_LINES = 4, 2
 
 
-#: The 32-bit hash of a line, and the lines at which chunks begin.
-LINE_HASHES = "transform(lines, x -> cast(conv(substring(md5(x), 1, 8), 16, 10) as bigint))"
-STARTS = f"""filter(sequence(0, size(hs) - 1), i -> i = 0 or
-  (hs[i] * 961 + (case when i > 0 then hs[i - 1] else 0 end) * 31 + (case when i > 1 then hs[i - 2] else 0 end)) % {MODULUS} = 0)"""
-CHUNKS = "transform(starts, (s, k) -> slice(lines, s + 1, coalesce(get(starts, k + 1), size(lines)) - s))"
 
 
-def _chunks(rows: DataFrame) -> DataFrame:
-    """Adds ``chunks``: an array of arrays of lines."""
-    lines = rows.withColumn("lines", F.split(F.col("text"), "\n", -1))
-    return lines.withColumn("hs", F.expr(LINE_HASHES)).withColumn("starts", F.expr(STARTS)).withColumn("chunks", F.expr(CHUNKS)).drop("lines", "hs", "starts")
+def let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to ``value``, which is then worked out once, wherever the optimizer moves the whole."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+HASHES = "transform(ls, x -> cast(conv(substring(md5(x), 1, 8), 16, 10) as bigint))"
+STARTS = f"""filter(sequence(0, size(ls) - 1), i -> i = 0 or
+  (hs[i] * 961 + (case when i > 0 then hs[i - 1] else 0 end) * 31 + (case when i > 1 then hs[i - 2] else 0 end)) % {MODULUS} = 0)"""
+#: The chunks of a text: an array of arrays of lines.
+CHUNKS = let("ls", "split(text, '\\n', -1)", let("hs", HASHES, let("st", STARTS, "transform(st, (s, k) -> slice(ls, s + 1, coalesce(get(st, k + 1), size(ls)) - s))")))
 
 
 def chunked(docs: DataFrame) -> DataFrame:
     """``doc_id, chunk, body, h`` for every chunk of at least ``MIN_LINES`` lines that are not blank."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    own = _chunks(rows).select("doc_id", F.posexplode("chunks").alias("chunk", "own")).where(f"size(filter(own, x -> length(trim(x)) > 0)) >= {MIN_LINES}")
-    bodies = own.select("doc_id", "chunk", F.array_join("own", "\n").alias("body"))
-    return bodies.withColumn("h", F.xxhash64("body"))
+    # the outer form, as the other one repeats its argument in a filter
+    own = rows.select("doc_id", F.posexplode_outer(F.expr(CHUNKS)).alias("chunk", "own"))
+    many = F.expr(f"size(filter(own, x -> length(trim(x)) > 0)) >= {MIN_LINES}")
+    return own.where(many).select("doc_id", "chunk", F.array_join("own", "\n").alias("body")).withColumn("h", F.xxhash64("body"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -65,11 +67,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     gone = repeats(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("chunk").alias("_gone"))
     rows = docs.withColumn("text", F.col("text").cast("string")).join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    with_chunks = _chunks(rows.withColumn("_text", F.col("text")).withColumn("text", F.expr("if(_gone is null, null, text)")))
-    kept = with_chunks.withColumn("_kept", F.expr("filter(chunks, (c, k) -> not array_contains(_gone, k))"))
-    out = kept.withColumn("text", F.expr("if(_gone is null, _text, array_join(flatten(_kept), '\n'))"))
-    out = out.withColumn("n_chunks_removed", F.expr("cast(if(_gone is null, 0, size(_gone)) as bigint)"))
-    out = out.withColumn("n_lines_removed", F.expr("cast(if(_gone is null, 0, size(flatten(chunks)) - size(flatten(_kept))) as bigint)"))
+    left = let("cs", CHUNKS, let("ks", "filter(cs, (c, k) -> not array_contains(_gone, k))", "named_struct('text', array_join(flatten(ks), '\n'), 'lines', cast(size(flatten(cs)) - size(flatten(ks)) as bigint))"))
+    out = rows.withColumn("_left", F.expr(f"case when _gone is not null then {left} end"))
+    out = out.withColumns(
+        {
+            "text": F.expr("if(_gone is null, text, _left.text)"),
+            "n_chunks_removed": F.expr("cast(if(_gone is null, 0, size(_gone)) as bigint)"),
+            "n_lines_removed": F.coalesce(F.col("_left.lines"), F.lit(0)).cast("long"),
+        }
+    )
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.expr("if(_gone is null, n_chars, char_length(text))").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns, "n_chunks_removed", "n_lines_removed")
