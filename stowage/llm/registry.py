@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, histsort, linededup, minhash, packing, paragraphs, rabitq, spacedseed, toxicity
+from . import bpe, histsort, linededup, minhash, packing, pages, paragraphs, rabitq, spacedseed, toxicity
 
 QUERIES = {
     "op1_rotated_codes": rabitq.op1_rotated_codes,
+    "op2_block_lstm": pages.op2_block_lstm,
     "op3_histogram_sort": histsort.op3_histogram_sort,
     "op4_heap_bpe": bpe.op4_heap_bpe,
     "op5_paragraph_minhash": paragraphs.op5_paragraph_minhash,
