@@ -144,6 +144,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(got["toxic"].to_numpy().astype(np.int64), row, feature.flatten().to_numpy().astype(np.int64), n.flatten().to_numpy())
 
 
+def severities(model: Model, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """P(grade >= k) of the texts lo to hi - 1."""
+    part = offsets[lo : hi + 1]
+    row, feature = features(data[part[0] : part[-1]], part - part[0])
+    inside = model.weights[feature] != 0
+    row, feature, n = counted(row[inside], feature[inside])
+    return model.severity(np.bincount(row, weights=model.weights[feature] * np.log1p(n), minlength=hi - lo))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, expected_severity, p_toxic, p_severe, grade, toxic`` for every document."""
     spark = docs.sparkSession
@@ -152,15 +161,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = sent.value
-        used = own.weights != 0
         for batch in batches:
             data, offsets = strings(batch.column(1))
             for lo, hi in rounds(offsets):
-                part = offsets[lo : hi + 1]
-                row, feature = features(data[part[0] : part[-1]], part - part[0])
-                inside = used[feature]
-                row, feature, n = counted(row[inside], feature[inside])
-                p = own.severity(np.bincount(row, weights=own.weights[feature] * np.log1p(n), minlength=hi - lo))
+                p = severities(own, data, offsets, lo, hi)
                 expected = p.sum(axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(expected), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((p >= 0.5).sum(axis=1).astype(np.int32)), pa.array(expected >= TOXIC)],
@@ -171,6 +175,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, expected_severity double, p_toxic double, p_severe double, grade int, toxic boolean")
 
 
+def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents, with all their columns, that are not toxic."""
+    spark = docs.sparkSession
+    prepare(spark)
+    sent = spark.sparkContext.broadcast(model)  # of a fixed size
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = strings(batch.column(text))
+            kept = [severities(sent.value, data, offsets, lo, hi).sum(axis=1) < TOXIC for lo, hi in rounds(offsets)]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of every document."""
     docs = table(spark, sf_dir, "documents")
