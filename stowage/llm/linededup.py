@@ -13,7 +13,7 @@ that follow have it as a key that adaptive execution splits.
 Edge cases. A null text stays null, an empty one empty. Blank lines count as
 lines, but a chunk needs ``MIN_LINES`` lines that are not blank to be removed.
 Rows that share a doc_id are told apart by nothing: ids are expected to be unique. Extra
-columns stay as they are.
+columns stay as they are; those of the names that are added are replaced.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ from .common import cut, table
 MODULUS, MIN_LINES = 4, 2
 
 
-
-
 def let(name: str, value: str, body: str) -> str:
     """SQL for ``body`` with ``name`` bound to ``value``, which is then worked out once, wherever the optimizer moves the whole."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
@@ -78,7 +76,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.expr("if(_gone is null, n_chars, char_length(text))").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, "n_chunks_removed", "n_lines_removed")
+    added = ("n_chunks_removed", "n_lines_removed")
+    return out.select(*(c for c in docs.columns if c not in added), *added)
 
 
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
