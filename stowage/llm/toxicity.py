@@ -34,8 +34,8 @@ from .words import U, hash_spans, rounds, spans, strings
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
 #: Bits of the feature space; bytes of the beginnings of words; a document is toxic from this severity.
 BITS, STARTS, TOXIC = 20, (4, 5, 7), 0.5
-#: Documents that a feature needs, features that are kept, rounds of fitting.
-LEAST, KEPT, ROUNDS = 4, 4000, 400
+#: Log-likelihood ratio that a feature needs, the most features that are kept, rounds of fitting.
+GAIN, KEPT, ROUNDS = 20.0, 4000, 400
 
 #: Bytes that are no part of a word: ASCII, but for letters and digits.
 BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -91,11 +91,12 @@ def fit(toxic: np.ndarray, rows: np.ndarray, feature: np.ndarray, n: np.ndarray)
         return Model(weights, np.array([30.0, 60.0]))
     with_ = np.bincount(feature[toxic[rows] == 1], minlength=size)
     without = np.bincount(feature[toxic[rows] == 0], minlength=size)
-    # how far the share of toxic documents with the feature is from that of clean ones
+    # log-likelihood ratio of each feature: what chance alone would hardly give
     p, q = (with_ + 0.5) / (positive + 1), (without + 0.5) / (docs - positive + 1)
-    gain = np.where(with_ + without >= LEAST, np.abs(p - q) * np.abs(np.log(p / q)), 0)
+    both = (with_ + without + 1) / (docs + 2)
+    gain = 2 * (with_ * np.log(p / both) + without * np.log(q / both))
     kept = np.argsort(-gain, kind="stable")[:KEPT]
-    kept = kept[gain[kept] > 0]
+    kept = kept[gain[kept] >= GAIN]
     marks = np.zeros(size, bool)
     marks[kept[p[kept] > 4 * q[kept]]] = True
     words = np.bincount(rows, weights=n, minlength=docs)
