@@ -18,29 +18,28 @@ def _ranges(df: DataFrame, start: Column, size: Column, chunk: Column, count: Co
     return rows.withColumns({"range_start": begin, "range_end": end}).drop("_start", "_size", "_chunk", "_count")
 
 
-def _chunks(size: Column, chunk: int) -> Column:
-    """Whole division rounded up, in integers."""
-    name = size._jc.toString()
-    return F.expr(f"({name} + {chunk - 1}) div {chunk}")
+def _chunks(size: str, chunk: int) -> Column:
+    """Whole division of a column rounded up, in integers."""
+    return F.expr(f"({size} + {chunk - 1}) div {chunk}")
 
 
 def object_parts(objects: DataFrame, threshold: int, chunk: int) -> DataFrame:
     """Download parts. An object smaller than the threshold is one part, at the threshold it is cut; an empty one is one empty part."""
-    count = F.when(F.col("size") < threshold, F.lit(1)).otherwise(_chunks(F.col("size"), chunk))
+    count = F.when(F.col("size") < threshold, F.lit(1)).otherwise(_chunks("size", chunk))
     return _ranges(objects, F.lit(0), F.col("size"), F.lit(chunk), count).select(*IDENTITY, F.col("size").alias("object_size"), "part_number", "range_start", "range_end")
 
 
 def read_parts(ranges: DataFrame, threshold: int, chunk: int) -> DataFrame:
     """Parts of byte ranges (``start``, ``end``) of objects, beginning at the start of each range."""
     sized = ranges.withColumn("_length", F.col("end") - F.col("start"))
-    count = F.when(F.col("_length") < threshold, F.lit(1)).otherwise(_chunks(F.col("_length"), chunk))
+    count = F.when(F.col("_length") < threshold, F.lit(1)).otherwise(_chunks("_length", chunk))
     return _ranges(sized, F.col("start"), F.col("_length"), F.lit(chunk), count).drop("_length")
 
 
 def upload_parts(objects: DataFrame, threshold: int, chunk: int) -> DataFrame:
     """Upload parts, numbered from 1, of objects larger than the threshold; others are put whole and have none."""
     large = objects.where(F.col("size") > threshold)
-    parts = _ranges(large, F.lit(0), F.col("size"), F.lit(chunk), _chunks(F.col("size"), chunk))
+    parts = _ranges(large, F.lit(0), F.col("size"), F.lit(chunk), _chunks("size", chunk))
     return parts.select(*IDENTITY, F.col("size").alias("object_size"), (F.col("part_number") + 1).alias("part_number"), "range_start", "range_end")
 
 
@@ -93,5 +92,5 @@ def multipart_totals(parts: DataFrame, keys: list[str] = IDENTITY) -> DataFrame:
 
 def archive_upload_parts(archive: DataFrame, chunk: int) -> DataFrame:
     """Parts of the archive itself, a stream cut into fixed chunks; ``archive`` has one row with ``archive_bytes``."""
-    parts = _ranges(archive, F.lit(0), F.col("archive_bytes"), F.lit(chunk), _chunks(F.col("archive_bytes"), chunk))
+    parts = _ranges(archive, F.lit(0), F.col("archive_bytes"), F.lit(chunk), _chunks("archive_bytes", chunk))
     return parts.select("part_number", "range_start", "range_end")
