@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from stowage.functions.selectors import EntryFilter, Selector
 from stowage.functions.urls import SCHEMES, parse_location
-from stowage.model import Config, StowageError
+from stowage.model import Config, NoInputs, StowageError
 from stowage.operators.extract import marked, summary, target_key
-from stowage.operators.parts import object_parts
+from stowage.operators.parts import read_parts
 from stowage.plans.create import check_inputs, check_plan, dedupe, select_any, totals
 from stowage.plans.index import archive_index, archive_totals, check_keys
 from stowage.sources.catalog import list_bucket
-from stowage.sources.tar import filesystem, open_path, register
+from stowage.sources.files import filesystem, open_path, store_options
+from stowage.sources.tar import register
 
 
 class Progress(Protocol):
@@ -57,41 +58,36 @@ def split_input(text: str) -> tuple[str, str | None]:
     return f"{scheme}{sep}{root}", selector or None
 
 
-def gather(spark: SparkSession, inputs: list[str], allow_empty: bool = False) -> DataFrame:
+def gather(spark: SparkSession, inputs: list[str], allow_empty: bool = False, store: dict[str, str] | None = None) -> DataFrame:
     """All objects of all inputs, each once, after checking that every input matches something. Each bucket is listed once, whatever its inputs."""
     by_bucket: dict[str, list[Selector]] = {}
     for text in inputs:
         root, selector = split_input(text)
         by_bucket.setdefault(root, []).append(Selector.parse(selector))
-    out: DataFrame | None = None
     if not by_bucket:
-        check_inputs(spark.createDataFrame([], "key string"), [], "")
+        raise NoInputs("an archive needs at least one input")
+    out: DataFrame | None = None
     for root, selectors in by_bucket.items():
-        objects = list_bucket(spark, root).withColumn("_path", F.concat(F.lit(_readable(root) + "/"), F.col("key")))
+        objects = list_bucket(spark, root, store=store)
         check_inputs(objects, selectors, root, allow_empty)
         found = select_any(objects, selectors)
         out = found if out is None else out.unionByName(found)
     return dedupe(out)
 
 
-def _readable(root: str) -> str:
-    scheme = root.split("://", 1)[0] if "://" in root else ""
-    return f"{SCHEMES[scheme]}://{root.split('://', 1)[1]}" if scheme in SCHEMES else root.rstrip("/")
-
-
-def read_ranges(parts: DataFrame) -> DataFrame:
+def read_ranges(parts: DataFrame, store: dict[str, str] | None = None) -> DataFrame:
     """Adds ``data``: the bytes of each range of each file, read by its task, one range at a time."""
     import pyarrow as pa
 
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in parts.schema if f.name != '_path')}, data binary"
-    names = [c for c in parts.columns if c != "_path"]
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in parts.schema if f.name != 'path')}, data binary"
+    names = [c for c in parts.columns if c != "path"]
 
     def run(batches):
         for batch in batches:
             rows = batch.to_pylist()
             for k, r in enumerate(rows):
                 if r["range_end"] > r["range_start"]:
-                    with open_path(r["_path"]) as f:
+                    with open_path(r["path"], store) as f:
                         f.seek(r["range_start"])
                         data = f.read(r["range_end"] - r["range_start"])
                 else:
@@ -106,19 +102,18 @@ def create_archive(spark: SparkSession, inputs: list[str], target: str, config:
     """Packs the objects of all inputs into a tar archive, ordered by time."""
     config, began = config or Config(), time.time()
     register(spark)
-    objects = gather(spark, inputs, allow_empty)
+    store = config.store_options()
+    objects = gather(spark, inputs, allow_empty, store)
     check_plan(objects, allow_empty)
     check_keys(objects)
     index = archive_index(objects)
     total, plan = archive_totals(index).first(), totals(index).first()
     progress("archive_initialized", total_objects=plan.n_objects, total_bytes=plan.n_bytes, estimated_archive_size=plan.estimated_bytes)
     progress("input_objects_download_starting", total_objects=plan.n_objects, total_bytes=plan.n_bytes)
-    parts = object_parts(index, config.threshold, config.chunk)
-    on = [parts[c].eqNullSafe(index[c]) for c in ("bucket", "key", "version_id")]
-    rows = parts.join(index, on).select(index["key"], index["size"], "header_offset", "data_offset", "range_start", "range_end", "_path")
-    dealt = read_ranges(rows.repartitionByRange(F.col("header_offset"), F.col("range_start")).sortWithinPartitions("header_offset", "range_start"))
-    url = f"{SCHEMES['s3']}://{target.split('://', 1)[1]}" if target.startswith("s3://") else target
-    dealt.write.format("stowage-tar-writer").mode("append").save(url)
+    whole = index.withColumns({"start": F.lit(0).cast("long"), "end": F.col("size")})
+    rows = read_parts(whole, config.threshold, config.chunk).select("key", "size", "header_offset", "data_offset", "range_start", "range_end", "path")
+    dealt = read_ranges(rows.repartitionByRange(F.col("header_offset"), F.col("range_start")).sortWithinPartitions("header_offset", "range_start"), store)
+    dealt.write.format("stowage-tar-writer").options(**store_options(store)).mode("append").save(target)
     progress("input_objects_download_completed", total_bytes=plan.n_bytes, seconds=time.time() - began)
     progress("archive_writes_completed", total_bytes_written=total.archive_bytes)
     if target.startswith("s3://"):
@@ -126,10 +121,10 @@ def create_archive(spark: SparkSession, inputs: list[str], target: str, config:
     return CreateResult(plan.n_objects, plan.n_bytes, total.archive_bytes, time.time() - began)
 
 
-def list_archive(spark: SparkSession, source: str, filters: list[str] | None = None, all_types: bool = False) -> DataFrame:
+def list_archive(spark: SparkSession, source: str, filters: list[str] | None = None, all_types: bool = False, store: dict[str, str] | None = None) -> DataFrame:
     """The entries of an archive with ``included``."""
     register(spark)
-    entries = spark.read.format("stowage-tar").option("allTypes", str(all_types).lower()).load(source)
+    entries = spark.read.format("stowage-tar").options(allTypes=str(all_types).lower(), **store_options(store or {})).load(source)
     return marked(entries, [EntryFilter.parse(f) for f in filters or []])
 
 
@@ -137,20 +132,21 @@ def extract_archive(spark: SparkSession, source: str, target: str, filters: list
     """Writes the entries that any filter takes (all, if there is none) below the target; its prefix is put before the paths as it is."""
     config, began = config or Config(), time.time()
     register(spark)
-    where, name = filesystem(source)
+    store = config.store_options()
+    where, name = filesystem(source, store)
     size = where.get_file_info(name).size
     progress("extract_starting", archive_size=size)
-    counted = summary(list_archive(spark, source, filters)).first()
-    entries = spark.read.format("stowage-tar").options(parts="true", chunkSize=str(config.chunk), multipartThreshold=str(config.threshold)).load(source)
+    counted = summary(list_archive(spark, source, filters, store=store)).first()
+    entries = spark.read.format("stowage-tar").options(parts="true", chunkSize=str(config.chunk), multipartThreshold=str(config.threshold), **store_options(store)).load(source)
     included = marked(entries, [EntryFilter.parse(f) for f in filters or []]).where("included")
     rows = included.select(target_key(target).alias("target"), "size", "part_number", "range_start", "range_end", "data")
-    _write_parts(rows)
+    _write_parts(rows, store)
     progress("extract_finished", extracted_objects=counted.extracted_objects, extracted_bytes=counted.extracted_bytes, skipped_objects=counted.skipped_objects, skipped_bytes=counted.skipped_bytes)
     progress("objects_uploaded", total_objects=counted.extracted_objects, total_object_bytes=counted.extracted_bytes, seconds=time.time() - began)
     return ExtractResult(counted.extracted_objects, counted.extracted_bytes, counted.skipped_objects, counted.skipped_bytes, time.time() - began)
 
 
-def _write_parts(rows: DataFrame) -> None:
+def _write_parts(rows: DataFrame, store: dict[str, str]) -> None:
     """Each object is written by one task, part after part in order; no more than a part is in memory."""
 
     def run(part) -> None:
@@ -159,7 +155,7 @@ def _write_parts(rows: DataFrame) -> None:
             if r.target != now or r.range_start == 0:
                 if out is not None:
                     out.close()
-                where, name = filesystem("s3://" + r.target.split("://", 1)[1] if r.target.startswith(("s3://", "s3a://")) else r.target)
+                where, name = filesystem(r.target, store)
                 if "://" not in r.target or r.target.startswith("file:"):
                     where.create_dir(name.rpartition("/")[0] or "/", recursive=True)
                 out, now, at = where.open_output_stream(name), r.target, 0

@@ -32,8 +32,9 @@ ARCHIVE_ORDER = ["timestamp", *IDENTITY]
 class Config:
     """How archives are cut and transferred; sizes may be numbers or texts such as ``8MiB``.
 
-    ``store`` holds what the storage connector needs (region, credentials,
-    endpoint); ``hadoop_conf`` turns it into Spark settings.
+    Some fields are what the store needs (region, credentials,
+    endpoint); ``hadoop_conf`` turns it into Spark settings, ``store_options`` into
+    those of the file systems of tasks.
     """
 
     multipart_chunk_size: int | str = "8MiB"
@@ -87,6 +88,23 @@ class Config:
         return out | self.extra
 
 
+    def store_options(self) -> dict[str, str]:
+        """The same for the file systems that tasks open; empty if nothing is said, and then the environment decides."""
+        static = bool(self.access_key_id and self.secret_access_key)
+        out = {
+            "region": self.region,
+            "endpoint_override": self.endpoint,
+            "access_key": self.access_key_id if static else None,
+            "secret_key": self.secret_access_key if static else None,
+            "session_token": self.session_token if static else None,
+            "role_arn": None if static else self.assume_role_arn,
+            "session_name": None if static else self.assume_role_session_name,
+            "external_id": None if static else self.assume_role_external_id,
+        }
+        out = {k: v for k, v in out.items() if v}
+        return out | {"force_virtual_addressing": str(not self.path_style).lower()} if out else out
+
+
 class StowageError(Exception):
     """Any error of this package."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stowage.functions.selectors import Selector
-from stowage.model import ARCHIVE_ORDER, IDENTITY, TAR_BLOCK, EmptyArchive, NoInputs, NothingMatched, ObjectNotFound
+from stowage.model import ARCHIVE_ORDER, IDENTITY, TAR_BLOCK, EmptyArchive, NothingMatched, ObjectNotFound
 from stowage.plans.scale import ordered_sums
 
 
@@ -47,9 +47,7 @@ def match_counts(objects: DataFrame, selectors: list[Selector]) -> DataFrame:
 
 
 def check_inputs(objects: DataFrame, selectors: list[Selector], bucket: str, allow_empty: bool = False) -> None:
-    """Raises if there is no input or one matches nothing. With ``allow_empty``, buckets and globs may; single objects and prefixes may not."""
-    if not selectors:
-        raise NoInputs("an archive needs at least one input")
+    """Raises if an input matches nothing. With ``allow_empty``, buckets and globs may; single objects and prefixes may not."""
     for row in match_counts(objects, selectors).collect():
         if row.n_objects == 0 and (not allow_empty or row.kind in ("object", "prefix")):
             raise (ObjectNotFound if row.kind == "object" else NothingMatched)(f"nothing matches: {selectors[row.ordinal].describe(bucket)}")

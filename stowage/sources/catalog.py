@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from stowage.functions.selectors import Selector
 from stowage.functions.urls import SCHEMES, parse_location
 from stowage.model import UnsupportedStore
+from stowage.sources.files import store_options
+from stowage.sources.tar import register
 
 
 def as_objects(df: DataFrame, bucket: str, key: Column, size: Column, timestamp: Column) -> DataFrame:
@@ -21,29 +23,27 @@ def as_objects(df: DataFrame, bucket: str, key: Column, size: Column, timestamp:
     )
 
 
-def list_bucket(spark: SparkSession, url: str, selector: Selector | None = None) -> DataFrame:
-    """Objects under an object URL or a directory, listed by Spark's file source; contents are not read.
+def bucket_of(url: str) -> tuple[str, str]:
+    """Where the objects of a bucket URL or a folder are, and the bucket's name."""
+    scheme = url.split("://", 1)[0] if "://" in url else ""
+    if scheme in SCHEMES:
+        name = parse_location(url).bucket
+        return f"{scheme}://{name}", name
+    if scheme not in ("", "file"):
+        raise UnsupportedStore(f"{url}: unsupported object store {scheme!r}")
+    return url.rstrip("/"), url.rstrip("/").rsplit("/", 1)[-1]
 
-    Sizes and times come from the listing. A selector's literal prefix narrows the listing itself.
+
+def list_bucket(spark: SparkSession, url: str, selector: Selector | None = None, store: dict[str, str] | None = None) -> DataFrame:
+    """Objects of a bucket or below a folder, with the ``path`` of each; contents are not read.
+
+    A selector's literal prefix narrows the listing itself.
     """
-    if "://" in url:
-        scheme = url.split("://", 1)[0]
-        if scheme in SCHEMES:
-            where = parse_location(url)
-            root, bucket = f"{SCHEMES[scheme]}://{where.bucket}", where.bucket
-        elif scheme == "file":
-            root, bucket = url.rstrip("/"), url.rstrip("/").rsplit("/", 1)[-1]
-        else:
-            raise UnsupportedStore(f"{url}: unsupported object store {scheme!r}")
-    else:
-        root, bucket = "file://" + url.rstrip("/"), url.rstrip("/").rsplit("/", 1)[-1]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    # listings name files by scheme, authority and percent-encoded path
-    path = F.regexp_replace("path", "^[A-Za-z0-9+.-]+:(//[^/]*)?", "")
-    base = "/" if root.count("/") == 2 else "/" + root.split("://", 1)[1].split("/", 1)[1].rstrip("/") + "/"
-    key = F.try_url_decode(F.regexp_replace(F.substring(path, F.lit(len(base) + 1), F.length(path)), r"\+", "%2B"))
-    out = as_objects(files, bucket, F.coalesce(key, F.substring(path, F.lit(len(base) + 1), F.length(path))), F.col("length"), F.col("modificationTime"))
-    return out.where(selector.predicate()) if selector else out
+    register(spark)
+    root, bucket = bucket_of(url)
+    files = spark.read.format("stowage-listing").options(**store_options(store or {})).load(root)
+    files = files.where(selector.predicate()) if selector else files
+    return files.select(F.lit(bucket).alias("bucket"), "key", F.lit(None).cast("string").alias("version_id"), "size", "timestamp", "path")
 
 
 def with_versions(objects: DataFrame, versions: DataFrame, versioning: bool = True) -> DataFrame:

@@ -3,47 +3,30 @@
 ``stowage-tar`` reads: one header walk, which seeks over all data, finds the
 entries; their byte ranges are then read in parallel. ``stowage-tar-writer``
 writes: every row says where its bytes stand in the archive, so tasks write
-spans of their own and the commit puts them together.
+them in parallel.
 
-Paths are opened through ``open_path``: local files, or whatever file system
-pyarrow knows for the scheme.
+Files are opened as ``sources.files`` says: local ones, or those of whatever file
+system pyarrow knows for the scheme.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import urlsplit
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from stowage.model import TAR_BLOCK, TAR_NAME, ArchiveNotFound, CorruptArchive
+from stowage.model import TAR_BLOCK, TAR_NAME, CorruptArchive
+from stowage.sources.files import filesystem, open_path, store_of
+from stowage.sources.listing import Listing
 
 ENTRY_SCHEMA = "key string, size long, header_offset long, data_offset long, type string"
 PART_SCHEMA = "key string, size long, part_number int, range_start long, range_end long, data binary"
 
 
-def filesystem(path: str):
-    """A pyarrow file system and the path in it."""
-    from pyarrow import fs
-
-    scheme = urlsplit(path).scheme
-    if not scheme:
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri("s3://" + path.split("://", 1)[1] if scheme == "s3a" else path)
-
-
-def open_path(path: str):
-    """A seekable file for reading."""
-    where, name = filesystem(path)
-    try:
-        return where.open_input_file(name)
-    except FileNotFoundError as e:
-        raise ArchiveNotFound(f"there is no archive at {path}") from e
-
-
 def number(field: bytes) -> int:
     """A numeric header field: octal text, or base 256 if the first bit is set."""
     if field and field[0] & 0x80:
@@ -106,7 +89,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         from stowage.functions.sizes import parse_size
 
-        self.path = options["path"]
+        self.path, self.store = options["path"], store_of(options)
         self.parts = options.get("parts", "false").lower() == "true"
         self.all = options.get("allTypes", "false").lower() == "true"
         self.chunk = parse_size(options.get("chunkSize", "8MiB"))
@@ -130,7 +113,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         """Runs of entries, or of parts with about a chunk of data together."""
         out, rows, held = [], [], 0
-        with open_path(self.path) as f:
+        with open_path(self.path, self.store) as f:
             for e in filter(self.wanted, headers(f)):
                 if not self.parts:
                     pieces = [(e.key, e.size, e.header_offset, e.data_offset, e.type)]
@@ -150,7 +133,7 @@ class _Reader(DataSourceReader):
         if not self.parts:
             yield from partition.rows
         elif partition.rows:
-            with open_path(self.path) as f:
+            with open_path(self.path, self.store) as f:
                 for key, size, i, a, b, at in partition.rows:
                     f.seek(at)
                     yield key, size, i, a, b, f.read(b - a)
@@ -195,57 +178,103 @@ def entry_header(key: str, size: int) -> bytes:
 
 @dataclass
 class Piece(WriterCommitMessage):
+    """A file that a task wrote, and its runs of bytes: offset in the archive, length, offset in the file."""
+
     path: str
     spans: list
 
 
+def _whole(rows: Iterator) -> Iterator[tuple[int, bytes]]:
+    """Offset and bytes of each row, with the header before an entry's first part and the padding after its last."""
+    for r in rows:
+        data, offset = bytes(r.data or b""), r.data_offset + r.range_start
+        if r.range_start == 0:
+            data, offset = entry_header(r.key, r.size) + data, r.header_offset
+        if r.range_end == r.size:
+            data += b"\0" * (-r.size % TAR_BLOCK)
+        yield offset, data
+
+
+def _extend(spans: list, offset: int, n: int, at: int) -> None:
+    """Adds a run of bytes; one that goes on where the last ends becomes part of it."""
+    if spans and spans[-1][0] + spans[-1][1] == offset and spans[-1][2] + spans[-1][1] == at:
+        spans[-1] = (spans[-1][0], spans[-1][1] + n, spans[-1][2])
+    else:
+        spans.append((offset, n, at))
+
+
 class _Writer(DataSourceWriter):
-    """Each task writes the bytes of its rows into a file of its own beside the target; the commit copies them, in order of their offsets, into the archive. A task that is run again writes another file, so nothing is written twice."""
+    """Writes rows where their offsets say.
+
+    On a mounted file system every task writes its bytes in place, into a
+    file beside the target that the commit closes with the trailer and renames. A task that
+    is run again writes the same bytes to the same places.
+
+    Other stores have no writes in place: there each attempt writes a file of
+    its own, and the commit streams these, in order, into the one object.
+    """
 
     def __init__(self, options: dict[str, str]) -> None:
-        self.path = options["path"]
+        self.path, self.store = options["path"], store_of(options)
         self.work = f"{self.path}.parts-{uuid.uuid4().hex}"
 
+    def _mounted(self) -> bool:
+        from pyarrow import fs
+
+        return isinstance(filesystem(self.path, self.store)[0], fs.LocalFileSystem)
+
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        where, name = filesystem(self.work)
+        where, name = filesystem(self.work, self.store)
+        spans: list = []
+        if self._mounted():
+            fd = os.open(name, os.O_CREAT | os.O_WRONLY, 0o644)
+            try:
+                for offset, data in _whole(rows):
+                    done = 0
+                    while done < len(data):
+                        done += os.pwrite(fd, memoryview(data)[done:], offset + done)
+                    _extend(spans, offset, len(data), offset)
+                os.fsync(fd)
+            finally:
+                os.close(fd)
+            return Piece(name, spans)
         where.create_dir(name, recursive=True)
-        own, spans, at = f"{name}/{uuid.uuid4().hex}", [], 0
+        own, at = f"{name}/{uuid.uuid4().hex}", 0
         with where.open_output_stream(own) as out:
-            for r in rows:
-                data = bytes(r.data or b"")
-                if r.range_start == 0:
-                    data = entry_header(r.key, r.size) + data
-                    offset = r.header_offset
-                else:
-                    offset = r.data_offset + r.range_start
-                if r.range_end == r.size:
-                    data += b"\0" * (-r.size % TAR_BLOCK)
+            for offset, data in _whole(rows):
                 out.write(data)
-                spans.append((offset, len(data), at))
+                _extend(spans, offset, len(data), at)
                 at += len(data)
         return Piece(own, spans)
 
     def commit(self, messages: list) -> None:
-        where, name = filesystem(self.path)
         pieces = sorted((offset, n, m.path, at) for m in messages if m for offset, n, at in m.spans)
-        done, files = 0, {}
+        end = 0
+        for offset, n, _, _ in pieces:
+            if offset != end:
+                self._clean()
+                raise CorruptArchive(f"bytes {end} to {offset} of the archive are missing or there twice")
+            end += n
+        if self._mounted():
+            name = filesystem(self.work, self.store)[1]
+            fd = os.open(name, os.O_CREAT | os.O_WRONLY, 0o644)
+            try:
+                os.ftruncate(fd, end + 2 * TAR_BLOCK)
+                os.fsync(fd)
+            finally:
+                os.close(fd)
+            os.replace(name, filesystem(self.path, self.store)[1])
+            return
+        where, name = filesystem(self.path, self.store)
         with where.open_output_stream(name) as out:
-            for offset, n, path, at in pieces:
-                if offset != done:
-                    raise CorruptArchive(f"bytes {done} to {offset} of the archive are missing or there twice")
-                if path not in files:
-                    files[path] = where.open_input_file(path)
-                f = files[path]
-                f.seek(at)
-                left = n
-                while left:
-                    data = f.read(min(left, 8 << 20))
-                    out.write(data)
-                    left -= len(data)
-                done += n
+            for _, n, path, at in pieces:
+                with where.open_input_file(path) as f:
+                    f.seek(at)
+                    while n:
+                        data = f.read(min(n, 8 << 20))
+                        out.write(data)
+                        n -= len(data)
             out.write(b"\0" * (2 * TAR_BLOCK))
-        for f in files.values():
-            f.close()
         self._clean()
 
     def abort(self, messages: list) -> None:
@@ -254,9 +283,12 @@ class _Writer(DataSourceWriter):
     def _clean(self) -> None:
         from pyarrow import fs
 
-        where, name = filesystem(self.work)
-        if where.get_file_info(name).type != fs.FileType.NotFound:
+        where, name = filesystem(self.work, self.store)
+        kind = where.get_file_info(name).type
+        if kind == fs.FileType.Directory:
             where.delete_dir(name)
+        elif kind == fs.FileType.File:
+            where.delete_file(name)
 
 
 class TarSink(DataSource):
@@ -274,7 +306,8 @@ class TarSink(DataSource):
 
 
 def register(spark) -> None:
-    """Makes both formats known to a session, and lets filters reach the reader."""
+    """Makes the formats known to a session, and lets filters reach their readers."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(Listing)
     spark.dataSource.register(TarSource)
     spark.dataSource.register(TarSink)

@@ -43,6 +43,6 @@ def running_totals(events: DataFrame) -> DataFrame:
 
 
 def watch_listing(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
-    """New files under a directory as a stream of objects."""
+    """New files under a directory as a stream of objects; Spark's file source leaves out empty ones and those whose names begin with a dot or an underscore."""
     files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).schema("path string, modificationTime timestamp, length long, content binary").load(root)
     return files.select(F.col("path").alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("timestamp"))
