@@ -4,8 +4,9 @@ Grades are ordered: 0 clean, 1 toxic, 2 severely toxic. One weight for each
 feature is shared by all thresholds, P(grade >= k) = sigmoid(w.x - t_k) with
 t_1 < t_2, and the expected severity is the sum of these over k.
 
-Features are hashed words and their beginnings (insults are inflected), as the
-logarithm of one plus their count. The labels tell toxic from clean only, so the higher grade
+Features are hashed words and their beginnings (insults are inflected). Each
+counts twice: by how often a text has it, and by its share of the text, as what
+is rare by chance is there in any long text. The labels tell toxic from clean only, so the higher grade
 is set by what they tell: of the toxic training texts, those are severe
 whose share of words that mark toxic texts is above the median.
 
@@ -36,6 +37,9 @@ MAX_TOXIC, MAX_CLEAN = 2000, 4000
 BITS, STARTS, TOXIC = 20, (4, 5, 7), 0.5
 #: Log-likelihood ratio that a feature needs, the most features that are kept, rounds of fitting.
 GAIN, KEPT, ROUNDS = 20.0, 4000, 400
+#: A share is counted in this many words and beginnings, of a text with so many more.
+SHARE, MORE = 300, 60
+PENALTY = 1e-4
 
 #: Bytes that are no part of a word: ASCII, but for letters and digits.
 BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -43,9 +47,16 @@ BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 @dataclass
 class Model:
+    """Weights of the counts and of the shares of all features, and the thresholds of the grades."""
+
     weights: np.ndarray
     thresholds: np.ndarray
 
+    def score(self, row: np.ndarray, feature: np.ndarray, n: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """The weighted sum of each text's features; ``total`` has the number of all of them, known or not."""
+        count, share = measured(n, total[row])
+        return np.bincount(row, weights=self.weights[0, feature] * count + self.weights[1, feature] * share, minlength=len(total))
+
     def severity(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for each k, as columns."""
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -50, 50)))
@@ -69,6 +80,11 @@ def counted(row: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return key >> BITS, key & ((1 << BITS) - 1), n
 
 
+def measured(n: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two values of features that texts of ``total`` features have ``n`` times."""
+    return np.log1p(n), np.log1p(n * SHARE / (total + MORE))
+
+
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = strings(batch.column(1))
@@ -85,7 +101,7 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(toxic: np.ndarray, rows: np.ndarray, feature: np.ndarray, n: np.ndarray) -> Model:
     """Fits weights and thresholds to labelled documents, given as (row, feature, count)."""
     size = 1 << BITS
-    weights, docs = np.zeros(size, np.float32), len(toxic)
+    weights, docs = np.zeros((2, size), np.float32), len(toxic)
     positive = int(toxic.sum())
     if not 0 < positive < docs:
         return Model(weights, np.array([30.0, 60.0]))
@@ -99,16 +115,16 @@ def fit(toxic: np.ndarray, rows: np.ndarray, feature: np.ndarray, n: np.ndarray)
     kept = kept[gain[kept] >= GAIN]
     marks = np.zeros(size, bool)
     marks[kept[p[kept] > 4 * q[kept]]] = True
-    words = np.bincount(rows, weights=n, minlength=docs)
-    share = np.bincount(rows, weights=n * marks[feature], minlength=docs) / np.maximum(words, 1)
+    total = np.bincount(rows, weights=n, minlength=docs)
+    share = np.bincount(rows, weights=n * marks[feature], minlength=docs) / np.maximum(total, 1)
     grade = np.where(toxic == 1, 1 + (share > np.median(share[toxic == 1])), 0)
     number = np.full(size, -1)
     number[kept] = np.arange(len(kept))
     inside = number[feature] >= 0
-    r, c, x = rows[inside], number[feature[inside]], np.log1p(n[inside])
-    # balanced classes, L2 penalty, Adam on the full sample
-    each = np.where(grade == 0, 1.0 / (grade == 0).sum(), 1.0 / (grade > 0).sum()) * docs / 2
-    w, t = np.zeros(len(kept)), np.array([2.0, 4.0])
+    r, c, x = np.tile(rows[inside], 2), number[feature[inside]], np.concatenate(measured(n[inside], total[rows[inside]]))
+    c = np.concatenate([c, c + len(kept)])
+    # L2 penalty, Adam on the full sample
+    w, t = np.zeros(2 * len(kept)), np.array([2.0, 4.0])
     params, m, v = np.concatenate([w, [t[0], np.log(t[1] - t[0])]]), 0.0, 0.0
     for k in range(1, ROUNDS + 1):
         w, t = params[:-2], np.array([params[-2], params[-2] + np.exp(params[-1])])
@@ -122,13 +138,13 @@ def fit(toxic: np.ndarray, rows: np.ndarray, feature: np.ndarray, n: np.ndarray)
         slope = at_least * (1 - at_least)
         up = np.where(grade[:, None] == [1, 2], slope, 0) / chance[:, None]
         down = np.where(grade[:, None] == [0, 1], slope, 0) / chance[:, None]
-        by_threshold = (up - down) * each[:, None] / docs
+        by_threshold = (up - down) / docs
         d_score = by_threshold.sum(axis=1)
         d_t = -by_threshold.sum(axis=0)
-        grad = np.concatenate([-np.bincount(c, weights=d_score[r] * x, minlength=len(w)) + 1e-3 * w, [-d_t.sum(), -d_t[1] * np.exp(params[-1])]])
+        grad = np.concatenate([-np.bincount(c, weights=d_score[r] * x, minlength=len(w)) + PENALTY * w, [-d_t.sum(), -d_t[1] * np.exp(params[-1])]])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         params = params - 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-    weights[kept] = params[:-2]
+    weights[:, kept] = params[:-2].reshape(2, -1)
     return Model(weights, np.array([params[-2], params[-2] + np.exp(params[-1])]))
 
 
@@ -149,9 +165,9 @@ def severities(model: Model, data: np.ndarray, offsets: np.ndarray, lo: int, hi:
     """P(grade >= k) of the texts lo to hi - 1."""
     part = offsets[lo : hi + 1]
     row, feature = features(data[part[0] : part[-1]], part - part[0])
-    inside = model.weights[feature] != 0
-    row, feature, n = counted(row[inside], feature[inside])
-    return model.severity(np.bincount(row, weights=model.weights[feature] * np.log1p(n), minlength=hi - lo))
+    total = np.bincount(row, minlength=hi - lo)
+    inside = model.weights[:, feature].any(axis=0)
+    return model.severity(model.score(*counted(row[inside], feature[inside]), total))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
