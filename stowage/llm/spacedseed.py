@@ -11,9 +11,9 @@ Document seeds are first tested against a bitmap of the benchmark's seeds: it
 has a fixed size whatever the benchmark has, is the only thing that is broadcast, and
 only lets through more or fewer rows into the join.
 
-Edge cases. Null or empty texts and items of fewer than ``MIN_WORDS`` words
-match nothing: so short an item cannot be told from chance. Repeated items are
-each reported. A document that has an item several times is reported once, with its
+Edge cases. Null or empty texts match nothing. An item of fewer than
+``MIN_WORDS`` words has to be there whole, and one shorter than a seed matches nothing: it
+cannot be told from chance. Repeated items are each reported. A document that has an item several times is reported once, with its
 best overlap (then the first). Extra columns are ignored.
 """
 
@@ -111,7 +111,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 item = np.array(hit["words"], np.int64).view(np.uint64)
                 n, start, length = overlap(words, item, hit["offset"])
                 have = best.get(hit["item_id"])
-                if n >= MIN_WORDS and (have is None or (-n, start) < (-have[0], have[1])):
+                if n >= min(MIN_WORDS, len(item)) and (have is None or (-n, start) < (-have[0], have[1])):
                     best[hit["item_id"]] = (n, start, length, len(item))
             out += [(doc_id, item, *x) for item, x in sorted(best.items())]
         cols = list(zip(*out, strict=True)) or [[]] * 6
@@ -128,7 +128,7 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, n_matched, start_word, n_overlap, n_item_words``: every item found in a document.
 
-    An overlap has at least ``MIN_WORDS`` matching words and at least ``IDENTITY`` of its words match.
+    An overlap has at least ``MIN_WORDS`` matching words (or the whole item) and at least ``IDENTITY`` of its words match.
     """
     spark = docs.sparkSession
     prepare(spark)
