@@ -1,0 +1,93 @@
+"""Benchmark passages against brute force."""
+
+from __future__ import annotations
+
+import random
+import re
+
+from oracle import DATA
+
+from stowage.llm import spacedseed
+
+
+def split(text):
+    return re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def made(rng, n):
+    return ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(n)]
+
+
+def items_table(spark, items):
+    return spark.createDataFrame(list(items), "item_id long, text string")
+
+
+def pairs(df):
+    return {(r.doc_id, r.item_id) for r in df.collect()}
+
+
+def exact(docs, items, n=13):
+    grams = {}
+    for j, t in items:
+        w = split(t)
+        for k in range(len(w) - n + 1):
+            grams.setdefault(tuple(w[k : k + n]), set()).add(j)
+    return {(i, j) for i, t in docs for w in [split(t)] for k in range(len(w) - n + 1) for j in grams.get(tuple(w[k : k + n]), ())}
+
+
+def test_whole_table_against_brute_force(spark):
+    read = lambda name: [tuple(r) for r in spark.read.parquet(f"{DATA}/{name}.parquet").selectExpr("doc_id" if name == "documents" else "item_id", "text").collect()]
+    docs, items = read("documents"), read("benchmark")
+    out = spacedseed.op10_spaced_seeds(spark, DATA)
+    got, sure = pairs(out), exact(docs, items)
+    assert sure <= got
+    words = {i: split(t) for i, t in docs}
+    tests = {i: split(t) for i, t in items}
+    for r in out.collect():  # each overlap is what it says
+        own, item = words[r.doc_id][r.start_word : r.start_word + r.n_overlap], tests[r.item_id]
+        assert r.n_item_words == len(item)
+        best = max(sum(a == b for a, b in zip(own, item[k : k + len(own)], strict=False)) for k in range(len(item) - len(own) + 1))
+        assert best == r.n_matched >= min(spacedseed.MIN_WORDS, len(item))
+        assert r.n_matched >= spacedseed.IDENTITY * r.n_overlap
+
+
+def test_substitutions_are_tolerated(spark, documents):
+    """One word of every eight is another; unrelated documents stay clean."""
+    rng = random.Random(1)
+    items = [(j, " ".join(made(rng, rng.randint(24, 60)))) for j in range(40)]
+    docs = []
+    for j, t in items:
+        own = split(t)
+        for k in range(rng.randint(0, 7), len(own), 8):
+            own[k] = "changed"
+        docs.append((j, " ".join([*made(rng, 50), *own, *made(rng, 50)])))
+    docs += [(100 + i, " ".join(made(rng, 200))) for i in range(100)]
+    assert pairs(spacedseed.contaminated(documents(docs), items_table(spark, items))) == {(j, j) for j in range(40)}
+
+
+def test_parts_of_items(spark, documents):
+    rng = random.Random(2)
+    own = made(rng, 60)
+    items = [(1, " ".join(own))]
+    docs = [(1, " ".join([*made(rng, 20), *own[:20]])), (2, " ".join([*own[40:], *made(rng, 20)])), (3, " ".join([*made(rng, 9), *own[20:40], *made(rng, 9)])), (4, " ".join([*made(rng, 20), *own[:8], *made(rng, 20)]))]
+    assert pairs(spacedseed.contaminated(documents(docs), items_table(spark, items))) == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_edge_cases(spark, documents):
+    rng = random.Random(3)
+    own = " ".join(made(rng, 30))
+    docs = [(1, None), (2, ""), (3, own), (4, f"{own} x {own}"), (5, own.upper().replace(" ", "\n\t")), (6, "one two three four five six seven eight"), (7, "one two three four five six seven"), (8, "y " * 30_000 + own)]
+    items = [(1, own), (2, own), (3, None), (4, ""), (5, "a b"), (6, "One two three four five six seven eight")]
+    expected = {(i, j) for i in (3, 4, 5, 8) for j in (1, 2)} | {(6, 6)}
+    out = spacedseed.contaminated(documents(docs), items_table(spark, items))
+    assert pairs(out) == expected
+    assert out.count() == len(expected)
+    more = documents(docs).selectExpr("*", "1 as h", "2 as id", "3 as hits", "4 as offset", "5 as item_id")
+    assert pairs(spacedseed.contaminated(more, items_table(spark, items).selectExpr("*", "1 as doc_id", "2 as words"))) == expected
+    assert spacedseed.contaminated(documents([]), items_table(spark, items)).count() == 0
+    assert spacedseed.contaminated(documents(docs), items_table(spark, [])).count() == 0
+
+
+def test_many_copies_of_a_contaminated_document(spark, documents):
+    own = " ".join(made(random.Random(4), 40))
+    assert len(pairs(spacedseed.contaminated(documents([(i, own) for i in range(500)]), items_table(spark, [(1, own)])))) == 500

@@ -1,0 +1,72 @@
+"""Severity: held-out accuracy, order of grades, edge cases."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from stowage.llm import toxicity
+
+DATA = "/root/testdata/sf0.1"
+
+
+def test_held_out_accuracy(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = toxicity.train(docs, labels.where("doc_id % 3 <> 0"))
+    rows = toxicity.score(docs.join(labels.where("doc_id % 3 = 0").select("doc_id", F.col("toxic").alias("label")), "doc_id").drop("toxic"), model).join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id").collect()
+    toxic, clean = [r for r in rows if r.label == 1], [r for r in rows if r.label == 0]
+    assert len(toxic) > 100
+    assert np.mean([r.toxic for r in toxic]) > 0.9
+    assert np.mean([r.toxic for r in clean]) < 0.01
+    for r in rows:
+        assert abs(r.expected_severity - r.p_toxic - r.p_severe) < 1e-9
+        assert r.p_toxic >= r.p_severe
+        assert r.grade == (r.p_toxic >= 0.5) + (r.p_severe >= 0.5)
+
+
+def corpus(seed, n=400):
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(n):
+        words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(rng.randint(20, 80))]
+        bad = i % 5 == 0
+        if bad:
+            for _ in range(rng.randint(2, 8)):
+                words[rng.randrange(len(words))] = rng.choice(["zorgon", "zorgonish", "plimf"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, 0, int(bad)))
+    return rows, labels
+
+
+def test_training_and_rejection(spark, documents):
+    rows, labels = corpus(1)
+    model = toxicity.train(documents(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert model.thresholds[0] < model.thresholds[1]
+    docs = documents([(1, "zorgon plimf zorgon abc abd"), (2, "abc abd abe"), (3, None), (4, ""), (5, "abc " * 50_000)])
+    scored = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert {i for i, r in scored.items() if r.toxic} == {1}
+    assert scored[3].expected_severity == scored[4].expected_severity < 0.2
+    kept = toxicity.reject_toxic(docs.selectExpr("*", "1 as feature", "2 as n", "'a' as toxic"), model)
+    assert kept.columns == [*docs.columns, "feature", "n", "toxic"]
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5]
+
+
+def test_more_insults_are_more_severe(spark, documents):
+    rows, labels = corpus(2)
+    model = toxicity.train(documents(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    texts = [(k, " ".join(["zorgon"] * k + ["abc", "fig", "egg"] * 7)) for k in range(9)]
+    severity = [r.expected_severity for r in toxicity.score(documents(texts), model).orderBy("doc_id").collect()]
+    assert severity == sorted(severity)
+    assert severity[0] < 0.3
+    assert severity[8] > 1.5
+
+
+def test_labels_that_tell_nothing(spark, documents):
+    rows, _ = corpus(3, 20)
+    docs = documents(rows)
+    for labels in ([], [(1, 0, 1), (2, 0, 1)], [(1, 0, 0), (None, 0, 1), (2, 0, None), (999, 0, 1)]):
+        model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+        assert not any(r.toxic for r in toxicity.score(docs, model).collect())
+    assert toxicity.score(documents([]), model).count() == 0
