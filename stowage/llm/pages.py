@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from .common import prepare, table
 
 #: Parts of a block's vector: hashed path, hashed words, sizes. Units of a direction.
-PATH, WORDS, SIZES, UNITS = 160, 32, 4, 20
+PATH, WORDS, SIZES, UNITS = 320, 32, 4, 20
+#: Of the path's part, what the two innermost elements have for themselves.
+INNER = 64
 #: Pages and passes of training.
-PAGES, PASSES = 900, 6
+PAGES, PASSES = 1200, 9
 
 #: Elements of HTML, by what they do to the text around them; fixed values of the format.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -144,9 +146,9 @@ def path_vector(path: tuple) -> np.ndarray:
     out = np.zeros(PATH, np.float32)
     for depth, element in enumerate(reversed(path)):
         for name in element:
-            out[zlib.crc32(name.encode()) % (PATH - 32)] = 1
+            out[zlib.crc32(name.encode()) % (PATH - INNER)] = 1
             if depth < 2:
-                out[PATH - 32 + zlib.crc32(f"{depth}{name}".encode()) % 32] += 0.5
+                out[PATH - INNER + zlib.crc32(f"{depth}{name}".encode()) % INNER] = 1
     return out
 
 
@@ -258,6 +260,9 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 #: Names under which sites keep the parts of a page.
 MAIN = "content post entry story article-body post-content entry-content main-content body-text article story-body post-body page-content text prose".split()
+#: Names that tell nothing, or stand on parts of either.
+NEUTRAL = "lead intro first text title headline subtitle summary item row inner block".split()
+SUFFIXES = "container wrapper wrap box inner area block".split()
 FURNITURE = {
     "nav": "menu nav navbar main-menu navigation breadcrumbs breadcrumb pagination toc tabs links".split(),
     "header": "header site-header masthead top topbar page-header branding banner logo".split(),
@@ -269,6 +274,8 @@ FURNITURE = {
     "comments": "comments comment comment-list discussion replies respond responses disqus thread reactions".split(),
     "share": "share social sharing follow buttons share-bar".split(),
 }
+#: Those that also stand between the paragraphs of an article.
+INSIDE = ("ad", "ad", "ad", "share", "notice", "aside", "form", "comments")
 
 
 def sample_page(rng: np.random.Generator) -> tuple[str, list[str]]:
@@ -284,6 +291,12 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[str]]:
             out[min(len(out) - 1, k + 8)] += pick([".", ".", ",", ""])
         return " ".join(out)
 
+    def suffixed(name: str) -> str:
+        return f"{name}-{pick(SUFFIXES)}" if rng.random() < 0.25 else name
+
+    def named() -> str:
+        return f' class="{pick(NEUTRAL)}"' if rng.random() < 0.15 else ""
+
     main: list[str] = []
     length = lambda: (1, 9) if rng.random() < 0.25 else (8, 90)
 
@@ -291,9 +304,9 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[str]]:
         main.append(" ".join(text.split()))
         return text
 
-    def furniture() -> str:
-        kind = pick(list(FURNITURE))
-        own = pick(FURNITURE[kind])
+    def furniture(kinds: tuple[str, ...] = tuple(FURNITURE)) -> str:
+        kind = pick(kinds)
+        own = suffixed(pick(FURNITURE[kind]))
         attr = f'{pick(["class", "class", "id"])}="{own}{pick(["", " " + pick(["box", "wrap", "clearfix", "block"])])}"' if rng.random() < 0.8 else ""
         tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind)
         if tag is None or (attr and rng.random() < 0.4):
@@ -317,7 +330,7 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[str]]:
         out = []
         if rng.random() < 0.8:
             title = put(words(2, 12))
-            out.append(f"<h1>{title}</h1>" if rng.random() < 0.8 else f"<header><h1>{title}</h1></header>")
+            out.append(f"<h1{named()}>{title}</h1>" if rng.random() < 0.8 else f"<header><h1>{title}</h1></header>")
         for _ in range(int(rng.integers(1, 9))):
             how = rng.random()
             if how < 0.62:
@@ -325,7 +338,7 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[str]]:
                 text = put(text)
                 if rng.random() < 0.2:
                     text = f"<b>{text}" if rng.random() < 0.5 else f"<em>{text}</em><br>"
-                out.append(f"<p>{text}{'</p>' if rng.random() < 0.85 else ''}")
+                out.append(f"<p{named()}>{text}{'</p>' if rng.random() < 0.85 else ''}")
             elif how < 0.72:
                 out.append(f"<h{(k := int(rng.integers(2, 5)))}>{put(words(1, 9))}</h{k}>")
             elif how < 0.79:
@@ -336,15 +349,16 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[str]]:
                 out.append("<table>" + "".join("<tr>" + "".join(f"<td>{put(words(1, 6))}</td>" for _ in range(3)) + "</tr>" for _ in range(2)) + "</table>")
             elif how < 0.89:
                 out.append(f"<pre>{put(words(3, 30))}</pre>" if rng.random() < 0.5 else f"<figure><img src=a><figcaption>{put(words(2, 12))}</figcaption></figure>")
-            elif how < 0.93:
-                out.append(f"<div>{put(words(*length()))}</div>")
+            elif how < 0.90:
+                out.append(f"<div{named()}>{put(words(*length()))}</div>")
             else:
-                out.append(furniture())
+                out.append(furniture(INSIDE))
         return "".join(out)
 
-    own = pick(MAIN)
-    how = rng.random()
-    shell = "<article>%s</article>" if how < 0.35 else f'<article class="{own}">%s</article>' if how < 0.45 else "<main>%s</main>" if how < 0.55 else "<main><article>%s</article></main>" if how < 0.65 else f'<div {pick(["class", "id"])}="{own}">%s</div>' if how < 0.9 else f'<section class="{own}">%s</section>'
+    own = suffixed(pick(MAIN))
+    a_name, other = f'{pick(["class", "class", "id"])}="{own}"', f'class="{suffixed(pick(MAIN))}"'
+    shells = ("%s", "<article>%s</article>", "<article>%s</article>", f"<article {a_name}>%s</article>", "<main>%s</main>", "<main><article>%s</article></main>", f"<div {a_name}>%s</div>", f"<div {a_name}>%s</div>", f"<section {a_name}>%s</section>", f"<article {a_name}><div {other}>%s</div></article>", f"<main><article><div {a_name}>%s</div></article></main>", f"<div {a_name}><div {other}>%s</div></div>")
+    shell = pick(shells)
     before, after = "".join(furniture() for _ in range(int(rng.integers(0, 4)))), "".join(furniture() for _ in range(int(rng.integers(0, 4))))
     middle = shell % article()
     if rng.random() < 0.3:
@@ -366,13 +380,13 @@ def trained(pages: int = PAGES, passes: int = PASSES, seed: int = 11) -> Labelle
                 y[i] = 1
                 left.pop(0)
         data.append((vectors(own), y))
-    data = [d for d in data if len(d[0])]
+    # pages of like length go together, so that little is padded
+    data = sorted((d for d in data if len(d[0])), key=lambda d: len(d[0]))
+    groups = [data[at : at + 24] for at in range(0, len(data), 24)]
     net = Labeller()
     m, v, k = {n: 0.0 for n in net.p}, {n: 0.0 for n in net.p}, 0
     for epoch in range(passes):
-        order = rng.permutation(len(data))
-        for at in range(0, len(order), 16):
-            part = [data[i] for i in order[at : at + 16]]
+        for part in (groups[i] for i in rng.permutation(len(groups))):
             x, mask = padded([p[0] for p in part])
             y = np.zeros(mask.shape, np.float32)
             for i, p in enumerate(part):
