@@ -355,12 +355,19 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[str]]:
                 out.append(furniture(INSIDE))
         return "".join(out)
 
-    own = suffixed(pick(MAIN))
-    a_name, other = f'{pick(["class", "class", "id"])}="{own}"', f'class="{suffixed(pick(MAIN))}"'
-    shells = ("%s", "<article>%s</article>", "<article>%s</article>", f"<article {a_name}>%s</article>", "<main>%s</main>", "<main><article>%s</article></main>", f"<div {a_name}>%s</div>", f"<div {a_name}>%s</div>", f"<section {a_name}>%s</section>", f"<article {a_name}><div {other}>%s</div></article>", f"<main><article><div {a_name}>%s</div></article></main>", f"<div {a_name}><div {other}>%s</div></div>")
-    shell = pick(shells)
+    def named_main() -> str:
+        return f' {pick(["class", "class", "id"])}="{suffixed(pick(MAIN))}"'
+
+    middle = article()
+    for depth in range(int(pick([0, 1, 1, 1, 2, 2, 3]))):  # containers, innermost first
+        tag = pick(["article", "article", "main", "div", "div", "section"])
+        attr = named_main() if tag in ("div", "section") and depth == 0 or rng.random() < 0.5 else ""
+        middle = f"<{tag}{attr}>{middle}</{tag}>"
+    if rng.random() < 0.08:  # a page laid out as a table
+        side = f'<td class="{suffixed(pick(FURNITURE[pick(["nav", "aside", "ad"])]))}">' + "".join(pick([f'<a href="/x">{words(1, 4)}</a><br>', f"<p>{words(1, 8)}</p>"]) for _ in range(int(rng.integers(1, 6)))) + "</td>"
+        cells = [side, f"<td{named_main() if rng.random() < 0.8 else ''}>{middle}</td>"]
+        middle = f"<table><tr>{''.join(cells if rng.random() < 0.6 else cells[::-1])}</tr></table>"
     before, after = "".join(furniture() for _ in range(int(rng.integers(0, 4)))), "".join(furniture() for _ in range(int(rng.integers(0, 4))))
-    middle = shell % article()
     if rng.random() < 0.3:
         middle = f'<div class="{pick(["wrapper", "container", "page", "row", "site", "layout"])}">{middle}{furniture() if rng.random() < 0.5 else ""}</div>'
     return f"<html><head><title>{words(1, 8)}</title></head><body>{before}{middle}{after}</body></html>", main
