@@ -194,7 +194,8 @@ class Labeller:
         out, kept = np.zeros((b, t, u), np.float32), []
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
             z = into[:, k] + h @ self.p["r" + d]
-            i, f, o, g = sigmoid(z[:, :u]), sigmoid(z[:, u : 2 * u]), sigmoid(z[:, 2 * u : 3 * u]), np.tanh(z[:, 3 * u :])
+            gates = sigmoid(z[:, : 3 * u])
+            i, f, o, g = gates[:, :u], gates[:, u : 2 * u], gates[:, 2 * u :], np.tanh(z[:, 3 * u :])
             m = mask[:, k : k + 1]
             c2 = f * c + i * g
             tc = np.tanh(c2)
