@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.functions.globs import glob_to_regex
-from stowage.functions.selectors import EntryFilter, any_filter
+from stowage.functions.selectors import EntryFilter, any_filter, filter_kind
 
 
 def marked(entries: DataFrame, filters: list[EntryFilter]) -> DataFrame:
@@ -26,20 +25,26 @@ def target_key(prefix: str, key: Column | None = None) -> Column:
     return F.concat(F.lit(prefix), F.col("key") if key is None else key)
 
 
-def filter_condition(key: Column, kind: Column, value: Column, regex: Column) -> Column:
-    """Whether a row of a filter table takes a key."""
-    return ((kind == "object") & (key == value)) | ((kind == "prefix") & key.startswith(value)) | ((kind == "glob") & F.rlike(key, regex))
-
-
-def filter_table(filters: DataFrame) -> DataFrame:
-    """Adds ``kind`` and ``regex`` to a small table with filters as text in ``value``."""
-    rows = [(r.value, (f := EntryFilter.parse(r.value)).kind, glob_to_regex(f.value) if f.kind == "glob" else None) for r in filters.select("value").distinct().collect()]
-    return filters.sparkSession.createDataFrame(rows, "value string, kind string, regex string")
+def names_of(key: Column) -> Column:
+    """The key and the prefixes of all its folders: what an exact filter or a prefix has to equal."""
+    steps = F.split(key, "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/")))
+    return F.when(F.size(steps) > 1, F.concat(F.array(key), folders)).otherwise(F.array(key))
 
 
 def semi_join(entries: DataFrame, filters: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Entries that any row of a filter table takes (``left_semi``) or none does (``left_anti``)."""
-    return entries.join(filters, filter_condition(entries["key"], filters["kind"], filters["value"], filters["regex"]), how)
+    """Entries that any row of a filter table takes (``left_semi``) or none does (``left_anti``).
+
+    ``filters`` has filters as text in ``value``. Exact keys and prefixes, of which there may be
+    any number, are an equality join with the names of each key; globs, which are compiled
+    on the driver, are one predicate.
+    """
+    kinds = filters.select("value", filter_kind(F.col("value")).alias("kind")).distinct()
+    patterns = [EntryFilter.parse(r.value) for r in kinds.where("kind in ('glob', 'error')").collect()]
+    names = kinds.where("kind in ('object', 'prefix')").select("value")
+    named = entries.select("key", F.explode(names_of(F.col("key"))).alias("value")).join(names, "value", "left_semi").select("key").distinct()
+    taken = F.coalesce("_named", F.lit(False)) | (any_filter(patterns) if patterns else F.lit(False))
+    return entries.join(named.withColumn("_named", F.lit(True)), "key", "left").where(taken if how == "left_semi" else ~taken).select(*entries.columns)
 
 
 def components(entries: DataFrame, threshold: int, chunk: int) -> DataFrame:

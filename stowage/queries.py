@@ -389,7 +389,7 @@ def filter_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filters_table(spark: SparkSession) -> DataFrame:
-    return extract.filter_table(spark.createDataFrame([(f,) for f in FILTERS], "value string"))
+    return spark.createDataFrame([(f,) for f in FILTERS], "value string")
 
 
 @query(kept(ANY_SQL))

@@ -7,6 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from stowage.model import InvalidFilter
 from stowage.operators import events as log
 from stowage.operators import extract, parts, verify
 from stowage.plans import create, index
@@ -96,10 +97,22 @@ def test_missing_extra_and_changed(spark):
 
 
 def test_filter_tables(spark):
-    entries = spark.createDataFrame([("a", 1), ("b/c", 2), ("b/d.txt", 3)], "key string, size long")
-    filters = extract.filter_table(spark.createDataFrame([("a",), ("b/*.txt",), ("b/*.txt",)], "value string"))
-    assert sorted(r.key for r in extract.semi_join(entries, filters).collect()) == ["a", "b/d.txt"]
-    assert [r.key for r in extract.semi_join(entries, filters, "left_anti").collect()] == ["b/c"]
+    entries = spark.createDataFrame([("a", 1), ("b/c", 2), ("b/d.txt", 3), ("b/x/y/z", 4), ("b/x", 5), ("bb/x/", 6), ("a", 7)], "key string, size long")
+    table = lambda *rows: spark.createDataFrame([(r,) for r in rows], "value string")
+    cases = [
+        (("a", "b/*.txt", "b/*.txt"), [1, 3, 7]),
+        (("b/", "b/x/"), [2, 3, 4, 5]),
+        (("b/x/",), [4]),
+        (("bb/",), [6]),
+        (("**",), [1, 2, 3, 4, 5, 6, 7]),
+        (("none",), []),
+        ((), []),
+    ]
+    for filters, sizes in cases:
+        assert sorted(r["size"] for r in extract.semi_join(entries, table(*filters)).collect()) == sizes
+        assert sorted(r["size"] for r in extract.semi_join(entries, table(*filters), "left_anti").collect()) == sorted({1, 2, 3, 4, 5, 6, 7} - set(sizes))
+    with pytest.raises(InvalidFilter):
+        extract.semi_join(entries, table("a", "/"))
 
 
 def test_invariants_of_a_damaged_log(spark):
