@@ -12,7 +12,7 @@ Law: ``bytes``. Shards differ by less than twice the tolerance, or by
 single rows larger than that.
 
 Edge cases. A null text has no bytes, size 1 and checksum 0, as an empty one.
-Rows with equal text and id are neighbours in any order. Fewer rows than
+Rows with equal text and id are neighbours in any order; a null id counts as 0. Fewer rows than
 shards leave shards empty. Extra columns go along; columns of the names that are
 added (``size, text_crc32, shard, slot``) are replaced.
 """
@@ -111,7 +111,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     keyed = docs.withColumns(
         {
             "_key_hash": F.xxhash64(F.coalesce(text, F.lit(""))),
-            "_key_id": F.col(id_col).cast("long"),
+            "_key_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)),
             "size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1,
             "text_crc32": F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long"),
         }

@@ -12,7 +12,8 @@ that follow have it as a key that adaptive execution splits.
 
 Edge cases. A null text stays null, an empty one empty. Blank lines count as
 lines, but a chunk needs ``MIN_LINES`` lines that are not blank to be removed.
-Rows that share a doc_id are told apart by nothing: ids are expected to be unique. Extra
+Rows that share a doc_id and a chunk at the same place count as one, which stays; a row
+without an id loses nothing, but others lose what it has. Extra
 columns stay as they are; those of the names that are added are replaced.
 """
 
@@ -49,13 +50,13 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, chunk`` of every chunk whose bytes stand elsewhere before."""
+    """``doc_id, chunk, h`` of every chunk whose bytes stand elsewhere before."""
     chunks = chunked(docs)
     many = chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     found = cut(chunks.join(many, "h"))
     # equal hashes are candidates only: the bytes of the body decide
     first = found.groupBy("h", "body").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "body", "first")
-    return found.join(first, ["h", "body"]).where(F.struct("doc_id", "chunk") != F.col("first")).select("doc_id", "chunk")
+    return found.join(first, ["h", "body"]).where(F.struct("doc_id", "chunk") != F.col("first")).select("doc_id", "chunk", "h")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -63,14 +64,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     ``text`` is what is left, and ``n_chars``, where there is one, its length.
     """
-    gone = repeats(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("chunk").alias("_gone"))
+    gone = repeats(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("chunk", "h")).alias("_gone"))
     rows = docs.withColumn("text", F.col("text").cast("string")).join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    left = let("cs", CHUNKS, let("ks", "filter(cs, (c, k) -> not array_contains(_gone, k))", "named_struct('text', array_join(flatten(ks), '\n'), 'lines', cast(size(flatten(cs)) - size(flatten(ks)) as bigint))"))
+    # the hash tells rows that share an id apart
+    stays = "filter(cs, (c, k) -> not array_contains(_gone, named_struct('chunk', k, 'h', xxhash64(array_join(c, '\n')))))"
+    counts = "'chunks', cast(size(cs) - size(ks) as bigint), 'lines', cast(size(flatten(cs)) - size(flatten(ks)) as bigint)"
+    left = let("cs", CHUNKS, let("ks", stays, f"named_struct('text', array_join(flatten(ks), '\n'), {counts})"))
     out = rows.withColumn("_left", F.expr(f"case when _gone is not null then {left} end"))
     out = out.withColumns(
         {
             "text": F.expr("if(_gone is null, text, _left.text)"),
-            "n_chunks_removed": F.expr("cast(if(_gone is null, 0, size(_gone)) as bigint)"),
+            "n_chunks_removed": F.coalesce(F.col("_left.chunks"), F.lit(0)).cast("long"),
             "n_lines_removed": F.coalesce(F.col("_left.lines"), F.lit(0)).cast("long"),
         }
     )

@@ -15,8 +15,8 @@ block pair emits a spanning forest of its links, not the links: what leaves a
 task is linear in what enters it.
 
 Edge cases. Null and empty texts have no shingles, link with nothing and are
-kept. A text with fewer than five words is one shingle. Repeated ids are not
-expected. Extra columns are ignored.
+kept. A text with fewer than five words is one shingle. A row without an id belongs to
+the component of its text, if another row has one. Rows that share an id are one document of several texts. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     return (
         all_.join(reps, same, "left")
         .select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 

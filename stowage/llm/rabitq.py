@@ -16,7 +16,7 @@ number of links of each of its classes and a spanning forest of them, so what
 leaves a task is linear in what enters it; a pair counts in the first band in which it agrees.
 
 Edge cases. Vectors that are null, empty, zero, or hold null or non-finite
-components link with nothing. Vectors of different length do not link. Extra columns are ignored.
+components link with nothing. Vectors of different length do not link. A row without an id counts as another vector. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -163,7 +163,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_id"
     return (
         named.join(known, "v", "left")
         .select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-        .withColumn("kept", F.col("vec_id") == F.col("component_id"))
+        .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     )
 
 

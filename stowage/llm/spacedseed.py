@@ -11,7 +11,7 @@ Document seeds are first tested against a bitmap of the benchmark's seeds: it
 has a fixed size whatever the benchmark has, is the only thing that is broadcast, and
 only lets through more or fewer rows into the join.
 
-Edge cases. Null or empty texts match nothing. An item of fewer than
+Edge cases. Null or empty texts match nothing; rows without an id take no part. An item of fewer than
 ``MIN_WORDS`` words has to be there whole, and one shorter than a seed matches nothing: it
 cannot be told from chance. Repeated items are each reported. A document that has an item several times is reported once, with its
 best overlap (then the first). Extra columns are ignored.
@@ -132,8 +132,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     prepare(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     tests = cut(items.mapInArrow(_seeds(None), "h long, item_id long, item_at long"))
     # one bitmap for each of a few partitions, each of a fixed size, joined on the driver
     parts = tests.select("h").coalesce(8).mapInArrow(_bitmap, "bits binary").collect()

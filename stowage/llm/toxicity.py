@@ -16,7 +16,7 @@ every document whole.
 
 Edge cases. Null and empty texts have no features and severity by the
 thresholds alone, which is close to 0. Labels that are null, or whose document is missing, are
-not used; without toxic or without clean labels everything has severity 0. Extra columns are ignored.
+not used, and of several the highest counts; without toxic or without clean labels everything has severity 0. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -150,11 +150,11 @@ def fit(toxic: np.ndarray, rows: np.ndarray, feature: np.ndarray, n: np.ndarray)
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits the model to a bounded sample of the labelled documents."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     sample = known.where("toxic = 1").orderBy(order, "doc_id").limit(MAX_TOXIC).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(MAX_CLEAN))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", "text", "toxic")  # at most 6,000 rows
+    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")  # at most 6,000 rows
     got = rows.mapInArrow(_collect, "doc_id long, toxic int, feature array<int>, n array<int>").toArrow().sort_by("doc_id")
     feature, n = got["feature"].combine_chunks(), got["n"].combine_chunks()
     row = np.repeat(np.arange(len(got)), feature.value_lengths().to_numpy()) if len(got) else np.empty(0, np.int64)
