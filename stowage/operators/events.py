@@ -107,15 +107,15 @@ MORE = (("archive_object_written", "archive_bytes_written"),)
 
 
 def reconcile(events: DataFrame) -> DataFrame:
-    """``invariant, left_n, right_n, left_bytes, right_bytes, holds`` for every invariant; one pass over the log."""
+    """``invariant, left_n, right_n, left_bytes, right_bytes, holds`` for every invariant; one pass over the log, whose summary has a row for each kind of event."""
     names = sorted({e for pair in (*EQUAL, *MORE) for e in pair})
     aggs = []
     for e in names:
-        is_ = F.col("event") == e
-        aggs += [F.count_if(is_).alias(f"n_{e}"), F.coalesce(F.sum(F.when(is_, F.col("bytes"))), F.lit(0)).cast("long").alias(f"b_{e}")]
+        own = lambda c, e=e: F.coalesce(F.sum(F.when(F.col("event") == e, F.col(c))), F.lit(0)).cast("long")
+        aggs += [own("n").alias(f"n_{e}"), own("n_bytes").alias(f"b_{e}")]
     rows = []
     for pairs, sign in ((EQUAL, "="), (MORE, "<")):
         for a, b in pairs:
             holds = (F.col(f"n_{a}") == F.col(f"n_{b}")) & (F.col(f"b_{a}") == F.col(f"b_{b}")) if sign == "=" else (F.col(f"b_{a}") < F.col(f"b_{b}")) | (F.col(f"n_{a}") == 0)
             rows.append(F.struct(F.lit(f"{a} {sign} {b}").alias("invariant"), F.col(f"n_{a}").alias("left_n"), F.col(f"n_{b}").alias("right_n"), F.col(f"b_{a}").alias("left_bytes"), F.col(f"b_{b}").alias("right_bytes"), holds.alias("holds")))
-    return events.agg(*aggs).select(F.inline(F.array(*rows)))
+    return summary(events).agg(*aggs).select(F.inline(F.array(*rows)))
