@@ -20,6 +20,7 @@ best overlap (then the first). Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -84,17 +85,25 @@ def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def overlap(doc: np.ndarray, item: np.ndarray, offset: int) -> tuple[int, int, int]:
     """The best overlap of an item laid over a document from word ``offset``: matches, first word in the document, words.
 
-    A match counts one, a substitution takes off what makes ``IDENTITY`` break even; the best run of words wins.
+    Of all runs of words of which at least ``IDENTITY`` match, the one with most matches, from its first match to its last.
     """
     a, b = max(0, -offset), min(len(item), len(doc) - offset)
     if b <= a:
         return 0, 0, 0
     same = doc[offset + a : offset + b] == item[a:b]
-    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -IDENTITY / (1 - IDENTITY)))])
-    low = np.minimum.accumulate(total)
-    stop = int(np.argmax(total - low))
-    start = int(np.argmin(total[: stop + 1]))
-    return int(same[start:stop].sum()), offset + a + start, stop - start
+    share = Fraction(str(IDENTITY))
+    # in whole numbers, a run's total is 0 or more where its share is reached
+    total = np.concatenate([[0], np.cumsum(np.where(same, share.denominator - share.numerator, -share.numerator))])
+    count = np.concatenate([[0], np.cumsum(same)])
+    # for every end, the first start from which the total is 0 or more
+    first = np.searchsorted(-np.minimum.accumulate(total), -total)
+    stop = int(np.argmax(count - count[first]))
+    start = int(first[stop])
+    n = int(count[stop] - count[start])
+    if not n:
+        return 0, 0, 0
+    start += int(np.argmax(same[start:stop]))
+    return n, offset + a + start, stop - start
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 from oracle import DATA
 
 from stowage.llm import spacedseed
@@ -91,3 +92,56 @@ def test_edge_cases(spark, documents):
 def test_many_copies_of_a_contaminated_document(spark, documents):
     own = " ".join(made(random.Random(4), 40))
     assert len(pairs(spacedseed.contaminated(documents([(i, own) for i in range(500)]), items_table(spark, [(1, own)])))) == 500
+
+
+def longest(same):
+    """Most matches of any run of which at least IDENTITY match, by trying all."""
+    return max((sum(same[i:j]) for i in range(len(same)) for j in range(i + 1, len(same) + 1) if 5 * sum(same[i:j]) >= 4 * (j - i)), default=0)
+
+
+def test_overlap_is_the_longest_that_meets_the_rule():
+    rng = random.Random(5)
+    for _ in range(300):
+        n = rng.randint(13, 40)
+        item = np.arange(n, dtype=np.uint64)
+        own = item.copy()
+        own[rng.sample(range(n), rng.randint(1, 6))] = 999
+        before = rng.randint(0, 5)
+        doc = np.concatenate([np.full(before, 1000, np.uint64), own, np.full(3, 1001, np.uint64)])
+        matched, start, length = spacedseed.overlap(doc, item, before)
+        assert matched == longest((own == item).tolist())
+        assert matched == (own == item)[start - before : start - before + length].sum() >= spacedseed.IDENTITY * length
+    assert spacedseed.overlap(np.full(20, 7, np.uint64), np.arange(10, 25, dtype=np.uint64), 0) == (0, 0, 0)
+
+
+def seeded(same):
+    """Whether a mask's ones are all at matching words somewhere."""
+    return any(all(same[k + x] for x, bit in enumerate(mask) if bit == "1") for mask in spacedseed.MASKS for k in range(len(same) - len(mask) + 1))
+
+
+def test_random_substitutions_against_brute_force(spark, documents):
+    """Every alignment that has a seed is judged by the documented rule."""
+    rng = random.Random(6)
+    docs, items, expected = [], [], set()
+    for j in range(400):
+        own = made(rng, rng.randint(13, 40))
+        items.append((j, " ".join(own)))
+        changed = rng.sample(range(len(own)), rng.randint(1, 6))
+        same = [k not in changed for k in range(len(own))]
+        if seeded(same) and longest(same) >= spacedseed.MIN_WORDS:
+            expected.add((j, j))
+        docs.append((j, " ".join([*made(rng, 20), *(w if s else "changed" for w, s in zip(own, same, strict=True)), *made(rng, 20)])))
+    for n in range(13, 17):
+        own = made(rng, n)
+        items.append((1000 + n, " ".join(own)))
+        for k in range(n):
+            same = [x != k for x in range(n)]
+            if seeded(same) and longest(same) >= spacedseed.MIN_WORDS:
+                expected.add((10_000 + 100 * n + k, 1000 + n))
+            docs.append((10_000 + 100 * n + k, " ".join([*made(rng, 9), *own[:k], "changed", *own[k + 1 :], *made(rng, 9)])))
+    own = made(rng, 29)
+    items.append((2000, " ".join(own)))
+    docs.append((20_000, " ".join([*made(rng, 9), *("changed" if k % 5 == 4 else w for k, w in enumerate(own)), *made(rng, 9)])))
+    expected.add((20_000, 2000))
+    got = pairs(spacedseed.contaminated(documents(docs), items_table(spark, items)))
+    assert got == expected
