@@ -11,9 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that Spark hands to Python at once. Texts of tens of megabytes then
-#: still fit into a worker; operators cut batches further by bytes.
-ARROW_ROWS = 1024
+#: A key is hot if it has more than one in this many of all rows: there are at most so many of them.
+HOT = 1000
+#: Buckets that the rows of a hot key are dealt to.
+SALTS = 64
+#: Marks of a sieve: the most rows that it broadcasts.
+MARKS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,16 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches and makes sure that checkpoints have a folder.
+    """Makes sure that checkpoints have a folder: the one in ``spark.checkpoint.dir``.
 
-    The folder is the one in ``spark.checkpoint.dir``. Where that is unset,
-    as in tests, a temporary one takes its place.
+    Where that is unset, a temporary folder takes its place, but only in local
+    mode: executors of a cluster wouldn't find each other's files there.
     """
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stowage-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stowage-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -49,18 +53,51 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pair_blocks(df: DataFrame, group: list[str], blocks: str, member: str) -> DataFrame:
+def sieve(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left rows whose key may be on the right: a filter with one hash function, for the join that follows.
+
+    At most ``MARKS`` marks are broadcast, however many keys there are; with far more keys than
+    marks it lets everything through, and the join does all the work.
+    """
+    mark = F.pmod(F.xxhash64(key), F.lit(MARKS)).cast("int").alias("_mark")
+    return left.withColumn("_mark", mark).join(F.broadcast(right.select(mark).distinct()), "_mark", "left_semi").drop("_mark")
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, by: str, total: int, on: list[str] | None = None) -> DataFrame:
+    """Inner join on ``key`` (and ``on``) that deals the left rows of hot keys to ``SALTS`` buckets each.
+
+    ``right`` is small, computed already, and has ``n``, the number of left rows of its key;
+    ``total`` is the sum of n. Keys with more than total / HOT rows are at most HOT, so
+    they are broadcast; only their rows on the right are repeated, once for each bucket.
+    The left column ``by`` tells the bucket.
+    """
+    hot = right.where(F.col("n") * HOT > total).select(key).distinct().withColumn("_hot", F.lit(True))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
+    every = F.when(F.col("n") * HOT > total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(right.withColumn("_salt", F.explode(every)).drop("n"), [key, *(on or []), "_salt"]).drop("_salt")
+
+
+def pair_blocks(df: DataFrame, member: str, blocks: str, minor: str | None = None, minor_blocks: str | None = None) -> DataFrame:
     """Replicates the rows of large groups so that every two rows of a group meet in one bounded cell.
 
     ``blocks`` names the column with the number of blocks of the row's group.
     A row gets a block from the hash of ``member`` and is sent to each pair of
     blocks with its own. Adds ``bi`` <= ``bj`` (the cell) and ``mine`` (the row's
     block); one block means one cell and no replication.
+
+    Where rows are ``minor`` or not, the first ``minor_blocks`` blocks are for those that are,
+    and two others need not meet: they are sent to the cells with minor blocks only.
     """
-    own = F.pmod(F.xxhash64(F.col(member)), F.col(blocks)).cast("int")
+    number = F.xxhash64(F.col(member))
+    own, reach = F.pmod(number, F.col(blocks)), F.col(blocks)
+    if minor:
+        few = F.col(minor_blocks)
+        own = F.when(F.col(minor), F.pmod(number, few)).otherwise(few + F.pmod(number, F.col(blocks) - few))
+        reach = F.when(F.col(minor), F.col(blocks)).otherwise(few)
     return (
-        df.withColumn("mine", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int"))))
+        df.withColumn("mine", own.cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), reach.cast("int") - 1)))
         .withColumn("bi", F.least("mine", "other"))
         .withColumn("bj", F.greatest("mine", "other"))
         .drop("other", blocks)

@@ -6,17 +6,18 @@ share about J of the K pairs, so the search is for documents that share at
 least T of them, with T four standard deviations below the mean at the
 threshold. Only the documents that can reach T are kept (skip), and each of those is
 listed under its K - T + 1 rarest pairs only (prefix): two documents with T
-common pairs share one of those. Collisions are counted inside the lists,
-and exact similarities over full shingle sets confirm every link.
+common pairs share one of those. Collisions of documents that share a list are counted,
+half of the coordinates first, and exact similarities over full shingle sets confirm every
+link (``setjoin``, which also tells how lists of any size are dealt).
 
-Skew. Documents with equal shingle sets are one class from the start. Lists
-and candidate cells of any size are dealt to pairs of bounded blocks, and a
-block pair emits a spanning forest of its links, not the links: what leaves a
-task is linear in what enters it.
+Skew. Documents with equal shingle sets are one class from the start. Pairs that very many documents have
+are dealt to buckets.
 
 Edge cases. Null and empty texts have no shingles, link with nothing and are
 kept. A text with fewer than five words is one shingle. A row without an id belongs to
-the component of its text, if another row has one. Rows that share an id are one document of several texts. Extra columns are ignored.
+the component of its text, and a component of such rows alone has no id. Texts that share an id
+go each by their own component, repeated rows together. Very long texts are hashed in pieces. An
+empty table gives an empty result. Extra columns are ignored, also those with names of the result.
 """
 
 from __future__ import annotations
@@ -26,16 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_group, cut, pair_blocks, prepare, table
+from .common import cut, hot_join, prepare, sieve, table
 from .components import connected_components
-from .words import U, distinct, mix, rounds, shingle_hashes, shingle_sets, strings, word_hashes
+from .setjoin import WIDTH, links
+from .words import U, distinct, mix, rounds, shingle_hashes, strings, word_hashes
 
-WIDTH, COORDINATES = 5, 64
-#: Members of a block of a collision list; bytes of shingle hashes of a block of a cell.
-LIST_BLOCK, CELL_BYTES = 4096, 8 << 20
+COORDINATES = 64
 
 
 def match_threshold(similarity: float, coordinates: int = COORDINATES, deviations: float = 4.0) -> int:
@@ -51,8 +51,7 @@ def multipliers(n: int) -> np.ndarray:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by = multipliers(COORDINATES)
     for batch in batches:
-        ids, column = batch.column(0), batch.column(1)
-        data, offsets = strings(column)
+        data, offsets = strings(batch.column(1))
         for lo, hi in rounds(offsets):
             part = offsets[lo : hi + 1]
             hashes, amount = shingle_hashes(*word_hashes(data[part[0] : part[-1]], part - part[0]), WIDTH)
@@ -71,111 +70,28 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     signature[:, k] = np.minimum.reduceat((hashes * by[k]) >> U(32), starts).astype(np.uint32).view(np.int32)
             ends = np.cumsum(np.where(amount > 0, COORDINATES, 0))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, n), pa.array(sizes), pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(signature.ravel()))],
-                names=["doc_id", "n_shingles", "p1", "p2", "signature"],
+                [*(batch.column(c).slice(lo, n) for c in (0, 2, 3, 4)), pa.array(sizes), pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(signature.ravel()))],
+                names=["doc_id", "row", "k1", "k2", "n_shingles", "p1", "p2", "signature"],
             )
 
 
-def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Set size, fingerprint of the set and signature of every document."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_features, "doc_id long, n_shingles long, p1 long, p2 long, signature array<int>")
+def prints(text: str = "text") -> list[Column]:
+    """Two hashes that stand for a text."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
 
 
-def _closest(need: int):
-    """Within one cell of a collision list: a forest of the pairs that share ``need`` coordinates."""
+def features(docs: DataFrame) -> DataFrame:
+    """Set size, fingerprint of the set and signature of every document; ``k1, k2`` stand for its text, ``row`` for id and text."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), *prints()).mapInArrow(_features, "doc_id long, row long, k1 long, k2 long, n_shingles long, p1 long, p2 long, signature array<int>")
 
-    def run(key: tuple, rows: pa.Table) -> pa.RecordBatch | None:
-        ids, mine = rows["rep"].to_numpy(), rows["mine"].to_numpy()
-        sig = rows["signature"].combine_chunks().values.to_numpy().reshape(len(ids), -1)
 
-        def near(at: int, rest: np.ndarray) -> np.ndarray:
-            return np.count_nonzero(sig[rest] == sig[at], axis=1) >= need
-
-        return walk(ids, mine if key[1] != key[2] else None, near)
-
-    return run
-
-
-def walk(ids: np.ndarray, side: np.ndarray | None, near) -> pa.RecordBatch | None:
-    """A spanning forest of the links among rows; linked rows already reached are not compared again.
-
-    ``near(row, rest)`` tells which of the rows ``rest`` link with ``row``. ``side`` marks the block of
-    each row of a cell of two different blocks.
-    """
-    left, u, v = np.arange(len(ids)), [], []
-    todo: list[int] = []
-    while len(left):
-        if not todo:
-            todo.append(int(left[0]))
-            left = left[1:]
-            continue
-        at = todo.pop()
-        if len(left):
-            hit = near(at, left)
-            found = left[hit]
-            if len(found):
-                u.append(np.full(len(found), ids[at]))
-                v.append(ids[found])
-                todo.extend(found.tolist())
-                left = left[~hit]
-    if not u:
-        return None
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
-
-
-def candidates(classes: DataFrame, need: int) -> DataFrame:
-    """A forest over all pairs of classes that share ``need`` signature coordinates."""
-    posts = classes.select("rep", F.posexplode("signature").alias("k", "x")).select("rep", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("x").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("post"))
-    common = posts.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
-    own = posts.join(common, "post").groupBy("rep").agg(F.collect_list(F.struct("n", "post")).alias("own"))
+def prefixes(classes: DataFrame, need: int, total: int) -> DataFrame:
+    """``list, member``: every class under its rarest posts, so many that two classes with ``need`` common ones share one."""
+    posts = classes.select("member", F.posexplode("signature").alias("k", "x")).select("member", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("x").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("list"))
+    common = posts.groupBy("list").agg(F.count("*").alias("n")).where("n > 1").withColumn("df", F.col("n"))
+    own = hot_join(posts, common, "list", "member", COORDINATES * total).groupBy("member").agg(F.collect_list(F.struct("df", "list")).alias("own"))
     # pairs that nobody else has come first in the prefix and need no list
-    prefix = own.where(F.size("own") >= need).select("rep", F.explode(F.slice(F.sort_array("own"), 1, F.size("own") - (need - 1))).alias("p")).select("rep", F.col("p.post").alias("post"))
-    lists = cut(prefix)
-    sizes = lists.groupBy("post").agg(F.count("*").alias("n")).where("n > 1").select("post", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks"))
-    cells = pair_blocks(lists.join(sizes, "post"), ["post"], "blocks", "rep").join(classes.select("rep", "signature"), "rep")
-    return by_group(cells, ["post", "bi", "bj"], _closest(need), "u long, v long")
-
-
-def _exact(percent: int):
-    """Within one cell: a forest of the pairs whose full sets reach the similarity."""
-
-    def run(key: tuple, rows: pa.Table) -> pa.RecordBatch | None:
-        ids = rows["doc_id"].to_numpy()
-        sets = [s for _, s in shingle_sets(rows["text"], WIDTH)]
-        sizes = np.array([len(s) for s in sets])
-        # dense numbers for the shingles that more than one row has; the others only count in sizes
-        flat = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(ids)), sizes)
-        order = np.argsort(flat, kind="stable")
-        ordered = flat[order]
-        new = np.ones(len(flat), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        number = np.empty(len(flat), np.int64)
-        number[order] = np.cumsum(new) - 1
-        shared = np.bincount(number)[number] > 1
-        number, owner = number[shared], owner[shared]
-        ends = np.searchsorted(owner, np.arange(len(ids) + 1))
-        mark = np.zeros(int(new.sum()), np.uint8)
-
-        def near(at: int, rest: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(rest), bool)
-            a, lengths = sizes[at], sizes[rest]
-            fits = np.flatnonzero((100 * np.minimum(a, lengths) >= percent * np.maximum(a, lengths)) & (ends[rest + 1] > ends[rest]))
-            if not len(fits):
-                return out
-            rows_ = rest[fits]
-            mark[number[ends[at] : ends[at + 1]]] = 1
-            amount = ends[rows_ + 1] - ends[rows_]
-            first = np.cumsum(amount) - amount
-            at_ = np.repeat(ends[rows_] - first, amount) + np.arange(amount.sum())
-            both = np.add.reduceat(mark[number[at_]].astype(np.int64), first)
-            mark[number[ends[at] : ends[at + 1]]] = 0
-            out[fits] = 100 * both >= percent * (a + sizes[rows_] - both)
-            return out
-
-        return walk(ids, None, near)
-
-    return run
+    return own.where(F.size("own") >= need).select("member", F.explode(F.slice(F.sort_array("own"), 1, F.size("own") - (need - 1))).alias("p")).select(F.col("p.list").alias("list"), "member")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,25 +100,51 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     Documents link when 100 * |A & B| >= percent * |A | B| for their sets of
     five-word shingles; a component takes its smallest id, whose document is kept.
     """
-    prepare(docs.sparkSession)
+    out = groups(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def first_of_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the row with the smallest id stays, once.
+
+    Rows without an id come after all others. Rows without words stay.
+    """
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    all_ = cut(groups(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), percent).where("component is not null"))
+    first = all_.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = hot_join(all_, first, "component", "row", all_.count()).where(F.col("row") != F.col("first.row")).select(F.col("row").alias("_row")).distinct()
+    left = docs.join(gone, key == F.col("_row"), "left_anti")
+    repeated = cut(all_.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("_row")))
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, key == F.col("_row")).dropDuplicates(["_row"]).drop("_row")
+    return left.join(repeated, key == F.col("_row"), "left_anti").union(once)
+
+
+def groups(texts: DataFrame, percent: int) -> DataFrame:
+    """``row, doc_id, n_shingles, component, component_id`` for every ``doc_id, text``: its component and the smallest id there.
+
+    ``row`` stands for id and text. A text without words has no component and its own id.
+    """
+    prepare(texts.sparkSession)
     need = match_threshold(percent / 100)
-    all_ = cut(features(docs, id_col, text_col))
+    all_ = cut(features(texts))
     same = ["p1", "p2", "n_shingles"]
-    classes = all_.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("signature", "doc_id").alias("signature"))
-    cells = connected_components(candidates(classes, need))
-    # n_shingles bounds what a block of a cell takes
-    members = cells.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cell").join(all_.select("doc_id", "n_shingles"), "doc_id")
-    members = cut(members)
-    blocks = members.groupBy("cell").agg(F.ceil(F.sum("n_shingles") * 8 / CELL_BYTES).cast("int").alias("blocks"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = pair_blocks(texts.join(members.select("doc_id", "cell"), "doc_id").join(blocks, "cell"), ["cell"], "blocks", "doc_id")
-    linked = connected_components(by_group(dealt, ["cell", "bi", "bj"], _exact(percent), "u long, v long"))
-    reps = classes.select(*same, "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("class_component"))
-    return (
-        all_.join(reps, same, "left")
-        .select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    by = all_.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("signature").alias("signature"), F.min(F.struct("k1", "k2")).alias("body"))
+    classes = cut(by.withColumn("member", F.monotonically_increasing_id()))
+    rows, total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+
+    def bodies(wanted: DataFrame) -> DataFrame:
+        chosen = classes.select("member", "body.k1", "body.k2").join(wanted, "member")
+        return sieve(texts.select("text", *prints()), chosen, "k1").dropDuplicates(["k1", "k2"]).join(chosen, ["k1", "k2"]).select("member", "text")
+
+    lists = cut(prefixes(classes, need, total))
+    found = links(lists, classes.select("member", F.col("n_shingles").alias("size")), bodies, percent, classes.select("member", F.col("signature").alias("x")), need)
+    joined = classes.drop("signature", "body").join(connected_components(found).withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
+    named = cut(hot_join(joined.withColumnRenamed("n", "copies"), joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "component", "member", total).select(*same, "component", "component_id", F.col("copies").alias("n")))
+    full = hot_join(all_.where("n_shingles > 0").drop("signature"), named, "p1", "doc_id", rows, ["p2", "n_shingles"]).select("row", "doc_id", "n_shingles", "component", "component_id")
+    empty = all_.where("n_shingles = 0").select("row", "doc_id", "n_shingles", F.lit(None).cast("long"), F.col("doc_id"))
+    return full.union(empty)
 
 
 def op8_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:

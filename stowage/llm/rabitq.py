@@ -156,7 +156,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_id"
     key = ["band", "dims", "value"]
     # band values of the classes alone tell how many blocks a value needs
     sizes = posts.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    found = cut(by_group(pair_blocks(posts.join(sizes, key), key, "blocks", "rep"), [*key, "bi", "bj"], _links(bits, count, threshold, width), "u long, links long, v long"))
+    found = cut(by_group(pair_blocks(posts.join(sizes, key), "rep", "blocks"), [*key, "bi", "bj"], _links(bits, count, threshold, width), "u long, links long, v long"))
     linked = found.where("links > 0").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     joined = connected_components(found.where("u <> v").select("u", "v")).withColumnRenamed("node", "rep")
     known = classes.join(linked, "rep", "left").join(joined, "rep", "left").select("v", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))

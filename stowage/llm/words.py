@@ -92,15 +92,49 @@ def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the lower-cased bytes of each span."""
-    n = len(data)
-    total = np.zeros(n + 1, U)
-    np.cumsum((LOWER[data].astype(U) + U(1)) * powers(BASE, n + 1)[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(INVERSE, n + 1)[starts] + (ends - starts).astype(U))
+    """A 64-bit hash of the lower-cased bytes of each span; spans are in order.
+
+    Works on runs of spans of about ``ROUND`` bytes: what it holds for each byte
+    of a very long text is bounded.
+    """
+    if not len(starts):
+        return np.empty(0, U)
+    out, i, n = np.empty(len(starts), U), 0, len(starts)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + ROUND, "right")))
+        at, stop = int(starts[i]), int(ends[i:j].max())
+        part, a, b = data[at:stop], starts[i:j] - at, ends[i:j] - at
+        total = np.zeros(len(part) + 1, U)
+        np.cumsum((LOWER[part].astype(U) + U(1)) * powers(BASE, len(part) + 1)[: len(part)], out=total[1:])
+        out[i:j] = mix((total[b] - total[a]) * powers(INVERSE, len(part) + 1)[a] + (b - a).astype(U))
+        i = j
+    return out
+
+
+def pieces(data: np.ndarray, size: int = ROUND) -> Iterator[np.ndarray]:
+    """Cuts a very long text into runs of about ``size`` bytes that end between words."""
+    at, n = 0, len(data)
+    while at < n:
+        stop = min(n, at + size)
+        while stop < n:  # on to the next byte between words
+            gap = np.flatnonzero(SPACE[data[stop : stop + size]])
+            if len(gap):
+                stop += int(gap[0])
+                break
+            stop = min(n, stop + size)
+        yield data[at:stop]
+        at = stop
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word, and the number of words of each row."""
+    if len(offsets) == 2 and len(data) > ROUND:
+        words = np.concatenate([_hashes(part, np.array([0, len(part)]))[0] for part in pieces(data)])
+        return words, np.array([len(words)])
+    return _hashes(data, offsets)
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, counts = spans(data, offsets)
     return hash_spans(data, starts, ends), counts
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+from stowage.llm import common, components
 from stowage.llm.components import connected_components
 
 
@@ -43,3 +44,11 @@ def test_random_graph(spark):
 
 def test_empty(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rounds_of_stars(spark, monkeypatch):
+    """More edges than one task may have, and nodes that count as hot."""
+    monkeypatch.setattr(components, "CHUNK", 3)
+    monkeypatch.setattr(common, "HOT", 20)
+    rng = random.Random(4)
+    check(spark, [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(120)] + [(0, i) for i in range(300, 500)] + [(i, i + 1) for i in range(600, 700)])

@@ -8,7 +8,7 @@ import re
 import pytest
 from oracle import DATA, connection, duck_rows, spark_rows
 
-from stowage.llm import minhash
+from stowage.llm import common, minhash, setjoin
 
 
 def shingles(text, width=5):
@@ -77,8 +77,9 @@ def test_empty_table_and_extra_columns(documents):
 
 def test_large_group_of_near_copies(documents, monkeypatch):
     """Blocks are small here, so that one group is dealt to many cells."""
-    monkeypatch.setattr(minhash, "LIST_BLOCK", 16)
-    monkeypatch.setattr(minhash, "CELL_BYTES", 20_000)
+    monkeypatch.setattr(setjoin, "BLOCK", 16)
+    monkeypatch.setattr(setjoin, "CELL_BYTES", 20_000)
+    monkeypatch.setattr(common, "HOT", 10)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(200)]
     rows = []
@@ -89,6 +90,33 @@ def test_large_group_of_near_copies(documents, monkeypatch):
     assert result(minhash.near_duplicates(documents(rows), 85)) == brute(rows, 85)
 
 
+def test_chains_need_more_than_the_pivots(documents, monkeypatch):
+    """Texts that drift away from the first one, a few words at a time, beside a group that does not."""
+    monkeypatch.setattr(setjoin, "BLOCK", 8)
+    rng = random.Random(3)
+    rows = []
+    for start in (0, 1000):
+        own = [f"w{start}_{i}" for i in range(200)]
+        for i in range(60):
+            for k in rng.sample(range(200), 2):
+                own[k] = f"x{start}_{i}_{k}"
+            rows.append((start + i, " ".join(own)))
+    base = rows[20][1].split()
+    for i in range(40):
+        own = list(base)
+        own[rng.randrange(200)] = f"y{i}"
+        rows.append((2000 + i, " ".join(own)))
+    rng.shuffle(rows)
+    for percent in (80, 90):
+        assert result(minhash.near_duplicates(documents(rows), percent)) == brute(rows, percent)
+
+
+def test_rows_without_ids_and_rows_that_share_one(documents):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = minhash.near_duplicates(documents([(None, a), (None, b), (5, a), (5, b), (3, b), (None, "z y x"), (None, "z y x")])).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in rows) == [(0, 0, True), (0, 0, True), (0, 3, False), (0, 5, False), (3, 3, True), (5, 3, False), (5, 5, True)]
+
+
 def test_threshold_of_matches():
     assert minhash.match_threshold(0.85) < 0.85 * minhash.COORDINATES
     assert minhash.match_threshold(0.01) == 1
