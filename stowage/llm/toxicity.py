@@ -6,17 +6,24 @@ t_1 < t_2, and the expected severity is the sum of these over k.
 
 Features are hashed words and their beginnings (insults are inflected). Each
 counts twice: by how often a text has it, and by its share of the text, as what
-is rare by chance is there in any long text. The labels tell toxic from clean only, so the higher grade
-is set by what they tell: of the toxic training texts, those are severe
-whose share of words that mark toxic texts is above the median.
+is rare by chance is there in any long text.
+
+The labels tell toxic from clean only: they are the ground truth of grade 1. There is none for
+grade 2, which is derived: of the toxic training texts, those count as severe whose share of
+words that mark toxic texts is above the median. An expected severity above 1 therefore
+says how densely toxic a text is, not how a person would grade it.
 
 The model is fitted on at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled
-documents (the bound of the sample, drawn by a hash of doc_id); scoring reads
-every document whole.
+documents (the bound of the sample, drawn by a hash of doc_id). Spark counts their features and
+chooses the ``KEPT`` that tell most; one task fits the weights to the counts of those,
+so the driver only gets the weights. Scoring reads every document whole.
 
 Edge cases. Null and empty texts have no features and severity by the
 thresholds alone, which is close to 0. Labels that are null, or whose document is missing, are
-not used, and of several the highest counts; without toxic or without clean labels everything has severity 0. Extra columns are ignored.
+not used, and of several the highest counts; without toxic or without clean labels everything has
+severity 0. Repeated rows are scored each; of the texts of one labelled doc_id the last in
+order of bytes is fitted to. An empty table gives an empty result. Very long texts
+are read in one piece. Extra columns are ignored, also those with names of the result.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import cut, prepare, table
 from .words import U, hash_spans, rounds, spans, strings
 
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
@@ -47,21 +54,32 @@ BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 @dataclass
 class Model:
-    """Weights of the counts and of the shares of all features, and the thresholds of the grades."""
+    """Features in order, the weights of their counts and of their shares, and the thresholds of the grades."""
 
+    features: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def score(self, row: np.ndarray, feature: np.ndarray, n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    def score(self, row: np.ndarray, feature: np.ndarray, total: np.ndarray) -> np.ndarray:
         """The weighted sum of each text's features; ``total`` has the number of all of them, known or not."""
+        out = np.zeros(len(total))
+        if not len(self.features):
+            return out
+        at = np.minimum(np.searchsorted(self.features, feature), len(self.features) - 1)
+        inside = self.features[at] == feature
+        row, at, n = counted(row[inside], at[inside])
         count, share = measured(n, total[row])
-        return np.bincount(row, weights=self.weights[0, feature] * count + self.weights[1, feature] * share, minlength=len(total))
+        return np.bincount(row, weights=self.weights[0, at] * count + self.weights[1, at] * share, minlength=len(total))
 
     def severity(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for each k, as columns."""
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -50, 50)))
 
 
+#: Says nothing: everything is clean.
+BLANK = Model(np.empty(0, np.int64), np.zeros((2, 0)), np.array([30.0, 60.0]))
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and feature number of every word and word beginning, with repeats."""
     starts, ends, counts = spans(data, offsets, BREAK)
@@ -85,47 +103,44 @@ def measured(n: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.log1p(n), np.log1p(n * SHARE / (total + MORE))
 
 
-def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = strings(batch.column(1))
+        ids, toxic = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        data, offsets = strings(batch.column(2))
         for lo, hi in rounds(offsets):
             part = offsets[lo : hi + 1]
-            row, feature, n = counted(*features(data[part[0] : part[-1]], part - part[0]))
-            ends = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32))), pa.ListArray.from_arrays(pa.array(ends), pa.array(n.astype(np.int32)))],
-                names=["doc_id", "toxic", "feature", "n"],
-            )
-
-
-def fit(toxic: np.ndarray, rows: np.ndarray, feature: np.ndarray, n: np.ndarray) -> Model:
-    """Fits weights and thresholds to labelled documents, given as (row, feature, count)."""
-    size = 1 << BITS
-    weights, docs = np.zeros((2, size), np.float32), len(toxic)
-    positive = int(toxic.sum())
-    if not 0 < positive < docs:
-        return Model(weights, np.array([30.0, 60.0]))
-    with_ = np.bincount(feature[toxic[rows] == 1], minlength=size)
-    without = np.bincount(feature[toxic[rows] == 0], minlength=size)
-    # log-likelihood ratio of each feature: what chance alone would hardly give
-    p, q = (with_ + 0.5) / (positive + 1), (without + 0.5) / (docs - positive + 1)
-    both = (with_ + without + 1) / (docs + 2)
-    gain = 2 * (with_ * np.log(p / both) + without * np.log(q / both))
-    kept = np.argsort(-gain, kind="stable")[:KEPT]
-    kept = kept[gain[kept] >= GAIN]
-    marks = np.zeros(size, bool)
-    marks[kept[p[kept] > 4 * q[kept]]] = True
-    total = np.bincount(rows, weights=n, minlength=docs)
-    share = np.bincount(rows, weights=n * marks[feature], minlength=docs) / np.maximum(total, 1)
+            row, feature = features(data[part[0] : part[-1]], part - part[0])
+            total = np.bincount(row, minlength=hi - lo)
+            row, feature, n = counted(row, feature)
+            for at in range(0, len(row), 1 << 18):
+                r = row[at : at + (1 << 18)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[lo + r]), pa.array(toxic[lo + r]), pa.array(total[r]), pa.array(feature[at : at + (1 << 18)]), pa.array(n[at : at + (1 << 18)])],
+                    names=["doc_id", "toxic", "total", "feature", "n"],
+                )
+
+
+def choose(counts: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """The features that tell most, by the log-likelihood ratio of what chance alone would hardly give: ``feature, marks``."""
+    p, q = (F.col("yes") + 0.5) / (toxic + 1), (F.col("no") + 0.5) / (clean + 1)
+    both = (F.col("yes") + F.col("no") + 1) / (toxic + clean + 2)
+    by = counts.groupBy("feature").agg(F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no"))
+    gain = by.withColumn("gain", 2 * (F.col("yes") * F.log(p / both) + F.col("no") * F.log(q / both))).where(F.col("gain") >= GAIN)
+    return gain.orderBy(F.desc("gain"), "feature").limit(KEPT).select("feature", (p > 4 * q).alias("marks"))
+
+
+def fit(toxic: np.ndarray, share: np.ndarray, rows: np.ndarray, feature: np.ndarray, n: np.ndarray, total: np.ndarray) -> Model:
+    """Fits weights and thresholds to labelled texts.
+
+    ``toxic`` and ``share`` (of words that mark toxic texts) are by text; the others by text and
+    kept feature: number of the text, feature, its count, and the number of all features of the text.
+    """
+    docs = len(toxic)
+    kept, c = np.unique(feature, return_inverse=True)
     grade = np.where(toxic == 1, 1 + (share > np.median(share[toxic == 1])), 0)
-    number = np.full(size, -1)
-    number[kept] = np.arange(len(kept))
-    inside = number[feature] >= 0
-    r, c, x = np.tile(rows[inside], 2), number[feature[inside]], np.concatenate(measured(n[inside], total[rows[inside]]))
-    c = np.concatenate([c, c + len(kept)])
+    r, c, x = np.tile(rows, 2), np.concatenate([c, c + len(kept)]), np.concatenate(measured(n, total))
     # L2 penalty, Adam on the full sample
-    w, t = np.zeros(2 * len(kept)), np.array([2.0, 4.0])
-    params, m, v = np.concatenate([w, [t[0], np.log(t[1] - t[0])]]), 0.0, 0.0
+    params, m, v = np.concatenate([np.zeros(2 * len(kept)), [2.0, np.log(2.0)]]), 0.0, 0.0
     for k in range(1, ROUNDS + 1):
         w, t = params[:-2], np.array([params[-2], params[-2] + np.exp(params[-1])])
         score = np.bincount(r, weights=w[c] * x, minlength=docs)
@@ -144,8 +159,22 @@ def fit(toxic: np.ndarray, rows: np.ndarray, feature: np.ndarray, n: np.ndarray)
         grad = np.concatenate([-np.bincount(c, weights=d_score[r] * x, minlength=len(w)) + PENALTY * w, [-d_t.sum(), -d_t[1] * np.exp(params[-1])]])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         params = params - 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-    weights[:, kept] = params[:-2].reshape(2, -1)
-    return Model(weights, np.array([params[-2], params[-2] + np.exp(params[-1])]))
+    return Model(kept, params[:-2].reshape(2, -1), np.array([params[-2], params[-2] + np.exp(params[-1])]))
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task: the texts' kept features, in any order, to the model's weights."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    # sums depend on their order in the last digits: sorted, the model is always the same
+    got = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("feature", "ascending")])
+    text, toxic, total, feature, n, marks = (got[c].to_numpy() for c in ("doc_id", "toxic", "total", "feature", "n", "marks"))
+    known = feature >= 0
+    _, first, rows = np.unique(text, return_index=True, return_inverse=True)
+    share = np.bincount(rows[known], weights=(n * marks)[known], minlength=len(first)) / np.maximum(total[first], 1)
+    model = fit(toxic[first].astype(np.int64), share, rows[known], feature[known], n[known], total[known])
+    yield pa.RecordBatch.from_arrays([pa.array([x.tolist()]) for x in (model.features, *model.weights, model.thresholds)], names=["features", "counts", "shares", "thresholds"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -154,27 +183,30 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     order = F.xxhash64("doc_id")
     sample = known.where("toxic = 1").orderBy(order, "doc_id").limit(MAX_TOXIC).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(MAX_CLEAN))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")  # at most 6,000 rows
-    got = rows.mapInArrow(_collect, "doc_id long, toxic int, feature array<int>, n array<int>").toArrow().sort_by("doc_id")
-    feature, n = got["feature"].combine_chunks(), got["n"].combine_chunks()
-    row = np.repeat(np.arange(len(got)), feature.value_lengths().to_numpy()) if len(got) else np.empty(0, np.int64)
-    return fit(got["toxic"].to_numpy().astype(np.int64), row, feature.flatten().to_numpy().astype(np.int64), n.flatten().to_numpy())
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))  # at most 6,000
+    counts = cut(rows.mapInArrow(_count, "doc_id long, toxic int, total long, feature long, n long"))
+    by = {r.toxic: r.n for r in counts.groupBy("toxic").agg(F.count_distinct("doc_id").alias("n")).collect()}
+    if not by.get(0) or not by.get(1):
+        return BLANK
+    # a text without kept features still is one of the sample: it comes once, without a feature
+    kept = counts.join(F.broadcast(choose(counts, by[1], by[0])), "feature").select("doc_id", "toxic", "total", "feature", "n", F.col("marks").cast("long").alias("marks"))
+    every = counts.select("doc_id", "toxic", "total").distinct().select("*", F.lit(-1).cast("long").alias("feature"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("marks"))
+    got = kept.union(every).coalesce(1).mapInArrow(_fit, "features array<long>, counts array<double>, shares array<double>, thresholds array<double>").first()
+    return Model(np.array(got.features, np.int64), np.array([got.counts, got.shares]), np.array(got.thresholds)) if got.features else BLANK
 
 
 def severities(model: Model, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> np.ndarray:
     """P(grade >= k) of the texts lo to hi - 1."""
     part = offsets[lo : hi + 1]
     row, feature = features(data[part[0] : part[-1]], part - part[0])
-    total = np.bincount(row, minlength=hi - lo)
-    inside = model.weights[:, feature].any(axis=0)
-    return model.severity(model.score(*counted(row[inside], feature[inside]), total))
+    return model.severity(model.score(row, feature, np.bincount(row, minlength=hi - lo)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, expected_severity, p_toxic, p_severe, grade, toxic`` for every document."""
     spark = docs.sparkSession
     prepare(spark)
-    sent = spark.sparkContext.broadcast(model)  # of a fixed size
+    sent = spark.sparkContext.broadcast(model)  # KEPT features at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = sent.value
@@ -196,7 +228,7 @@ def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The documents, with all their columns, that are not toxic."""
     spark = docs.sparkSession
     prepare(spark)
-    sent = spark.sparkContext.broadcast(model)  # of a fixed size
+    sent = spark.sparkContext.broadcast(model)  # KEPT features at most
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
