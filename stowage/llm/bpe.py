@@ -4,18 +4,21 @@ A text is cut into pieces as the tokenizer file says; the symbols of a piece
 are a linked list, its adjacent pairs wait in a heap by merge rank, and the
 lowest is popped and merged again and again. The number of tokens is the
 number of initial symbols less the number of merges; no token ids are made.
-Each worker remembers the counts of recent pieces, in bounded memory.
+Each worker remembers the counts of recent words and pieces, in bounded memory.
 
 Edge cases. Null and empty texts have no tokens. Special strings inside a
 text are one token each, as is the library's default. Texts are taken whole,
-whatever their length, and a piece of any length takes n log n steps.
+whatever their length, and a piece of any length takes n log n steps. Repeated rows and rows
+without an id are counted each; an empty table gives an empty result. Extra columns are
+ignored, also those with names of the result.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -26,8 +29,11 @@ from .common import prepare, table
 
 #: The cut of the byte-level pre-tokenizer; a fixed value of the format.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker remembers, and the longest one it does.
-REMEMBERED, LONGEST, LIMIT = 400_000, 64, 512
+#: A space after white space or at the start: pieces then depend on what is before the space.
+WIDE = re.compile(r"(?:\s|\A) ").search
+#: Pieces (and as many words) that a worker remembers, and the longest one it does.
+REMEMBERED, LONGEST, LIMIT = 250_000, 64, 512
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def byte_names() -> list[str]:
@@ -37,6 +43,21 @@ def byte_names() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
+class Remembered(dict):
+    """The values of a function of strings, worked out once for those that are not long, in bounded memory."""
+
+    def __init__(self, work: Callable[[str], int]) -> None:
+        self.work = work
+
+    def __missing__(self, key: str) -> int:
+        n = self.work(key)
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = n
+        return n
+
+
 class Counter:
     """Counts the tokens of texts under a byte-level BPE file."""
 
@@ -55,7 +76,8 @@ class Counter:
         special = sorted((t["content"] for t in spec.get("added_tokens") or []), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.find = regex.compile(PIECES).findall
-        self.known: dict[str, int] = {}
+        self.pieces = Remembered(self.piece)
+        self.words = Remembered(lambda word: sum(map(self.pieces.__getitem__, self.find(" " + word))))
 
     def piece(self, text: str) -> int:
         """Tokens of one piece."""
@@ -90,30 +112,30 @@ class Counter:
         """Tokens of a whole text."""
         if not text:
             return 0
-        total = 0
         if self.special and self.special.search(text):
-            total = len(self.special.findall(text))
-            parts = self.special.split(text)
-        else:
-            parts = [text]
-        known = self.known
-        for part in parts:
-            pieces = self.find(part)
-            try:
-                total += sum(map(known.__getitem__, pieces))
-                continue
-            except KeyError:
-                pass
-            for p in pieces:
-                n = known.get(p)
-                if n is None:
-                    n = self.piece(p)
-                    if len(p) <= LONGEST:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[p] = n
-                total += n
-        return total
+            return len(self.special.findall(text)) + sum(map(self.plain, self.special.split(text)))
+        return self.plain(text)
+
+    def plain(self, text: str) -> int:
+        """Tokens of a text without special strings.
+
+        A space that follows a character other than white space begins a piece, so a text is
+        the sum of what stands between such spaces, and the same words come again and again.
+        """
+        if not text:
+            return 0
+        if WIDE(text):
+            return sum(map(self.pieces.__getitem__, self.find(text)))
+        first, *others = text.split(" ")
+        return sum(map(self.pieces.__getitem__, self.find(first))) + sum(map(self.words.__getitem__, others))
+
+
+def tokenizer_file(tokenizer: str = TOKENIZER) -> str:
+    """The content of a public tokenizer's file."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(tokenizer), encoding="utf-8") as f:
+        return f.read()
 
 
 def count_tokens(docs: DataFrame, definition: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,9 +155,6 @@ def count_tokens(docs: DataFrame, definition: str, limit: int = LIMIT, id_col: s
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-def op4_heap_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+def op4_heap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole document."""
-    import public_tokenizers
-
-    with open(public_tokenizers.path(tokenizer), encoding="utf-8") as f:
-        return count_tokens(table(spark, sf_dir, "documents"), f.read())
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file())

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import itertools
 import random
-import re
+from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 from oracle import DATA
+from tokenizers import Tokenizer
 
 from stowage.llm import packing
+from stowage.llm.bpe import TOKENIZER
 
 
 def padding(lengths, bounds):
@@ -28,13 +31,22 @@ def test_boundaries_are_optimal():
             lengths = [rng.randint(0, 30) for _ in range(rng.randint(1, 40))]
             steps = sorted(set(lengths))
             count = np.array([lengths.count(s) for s in steps])
-            bounds = packing.boundaries(np.array(steps), count, np.array(steps) * count, buckets)
+            bounds = packing.boundaries(np.array(steps), count, buckets)
             assert len(bounds) <= buckets
             assert padding(lengths, bounds) == best(lengths, buckets)
 
 
+@lru_cache(maxsize=1)
+def library():
+    return Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+
+
+def tokens(text):
+    return len(library().encode(text, add_special_tokens=False).ids) if text else 0
+
+
 def check(texts, out, budget, buckets):
-    lengths = {i: len(re.findall(r"[^\x20\x09-\x0d]+", t or "")) for i, t in texts}
+    lengths = {i: tokens(t) for i, t in texts}
     assert sorted(r.doc_id for r in out) == sorted(lengths)
     batches = {}
     for r in out:
@@ -58,15 +70,25 @@ def test_small_table_has_the_least_padding(documents):
     rng = random.Random(2)
     texts = [(i, " ".join(["w"] * rng.choice([0, 1, 2, 3, 5, 8, 13, 21, 34]))) for i in range(300)]
     out = packing.pack(documents(texts), n_buckets=4, budget=64).collect()
-    assert check(texts, out, 64, 4) == best([len(t.split()) for _, t in texts], 4)
+    assert check(texts, out, 64, 4) == best([tokens(t) for _, t in texts], 4)
 
 
-def test_long_lengths_share_steps(documents, monkeypatch):
-    monkeypatch.setattr(packing, "EXACT", 256)
+def test_long_lengths_are_exact(documents, monkeypatch):
     monkeypatch.setattr(packing, "CHUNK", 10)
     rng = random.Random(3)
-    texts = [(i, "w " * rng.randint(1, 4000)) for i in range(200)]
-    check(texts, packing.pack(documents(texts), budget=8000).collect(), 8000, packing.BUCKETS)
+    texts = [(i, " w" * rng.choice([3, 1100, 1101, 1203, 2000, 2001, 2017, 4999])) for i in range(200)]
+    out = packing.pack(documents(texts), n_buckets=3, budget=8000).collect()
+    assert check(texts, out, 8000, 3) == best([tokens(t) for _, t in texts], 3)
+
+
+def test_rows_without_ids(documents, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 10)
+    out = packing.pack(documents([(None, "w w"), (7, "w w")] * 40), n_buckets=2, budget=10).collect()
+    room = {r.batch: 0 for r in out}
+    for r in out:
+        room[r.batch] += 1
+    assert sorted(room) == list(range(len(room)))
+    assert set(room.values()) == {10 // out[0].bucket_length}
 
 
 def test_edge_cases(documents):
