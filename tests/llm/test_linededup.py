@@ -10,10 +10,22 @@ from oracle import DATA, connection, duck_rows, spark_rows
 from stowage.llm import linededup
 
 
+def full(line):
+    return line.strip(" \t\v\f\r") != ""
+
+
 def cut(text):
     lines = text.split("\n")
-    hashes = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-    starts = [i for i in range(len(lines)) if i == 0 or (hashes[i] * 961 + hashes[i - 1] * 31 + (hashes[i - 2] if i > 1 else 0)) % linededup.MODULUS == 0]
+    at = [i for i, x in enumerate(lines) if full(x)]
+    if len(at) < 2:
+        return [lines]
+    hashes = [int(hashlib.md5(lines[i].encode()).hexdigest()[:8], 16) for i in at]
+    rolling = [(h * 31 + (hashes[k - 1] if k else 0)) % linededup.PRIME for k, h in enumerate(hashes)]
+    starts = [0]
+    for k in range(2, len(at) - 1):
+        before, here, after = rolling[k - 1 : k + 2]
+        if here < before and here <= after or k % 2 == 0 and rolling[k - 2] == before == here == after:
+            starts.append(at[k])
     return [lines[a:b] for a, b in zip(starts, [*starts[1:], len(lines)], strict=True)]
 
 
@@ -26,7 +38,7 @@ def brute(rows):
         left, chunks, lines = [], 0, 0
         for own in cut(text):
             body = "\n".join(own)
-            if sum(bool(x.strip(" ")) for x in own) >= linededup.MIN_LINES:
+            if sum(map(full, own)) >= 2:
                 if body in seen:
                     chunks, lines = chunks + 1, lines + len(own)
                     continue
@@ -68,6 +80,36 @@ def test_passages_are_found_at_other_offsets(documents):
     assert text.endswith("and after")
 
 
+def test_a_copy_loses_all_its_lines(documents):
+    rng = random.Random(5)
+    text = "\n".join(rng.choice(["", f"line {rng.random()}", f"line {rng.random()}", "again", "\t", "x"]) for _ in range(4000))
+    out = result(linededup.dedup_lines(documents([(1, text), (2, text)])))
+    repeated_inside = out[1][2]
+    assert out[2] == ("", len(cut(text)), 4000)
+    assert repeated_inside < 2000
+
+
+def test_runs_of_equal_lines(documents):
+    rows = [(i, "\n".join([f"a{i}", f"b{i}", f"c{i}"][: 1 + i % 3] + ["the same again"] * (20 + i) + [f"d{i}", f"e{i}"])) for i in range(6)]
+    out = result(linededup.dedup_lines(documents(rows)))
+    assert out == brute(rows)
+    assert all(n >= 12 for _, _, n in out.values())
+
+
+def test_share_of_a_passage_that_goes(documents):
+    """Lines of a passage between others, but for those near its ends."""
+    rng = random.Random(6)
+    for n, share in ((8, 0.4), (16, 0.7), (40, 0.85)):
+        rows = []
+        for i in range(100):
+            passage = [f"line {n} {i} {k}" for k in range(n)]
+            for j in (0, 1):
+                own = [f"own {rng.random()}" for _ in range(rng.randint(3, 9))]
+                rows.append((2 * i + j, "\n".join([*own, *passage, f"own {rng.random()}", f"own {rng.random()}"])))
+        removed = sum(r[2] for r in result(linededup.dedup_lines(documents(rows))).values())
+        assert removed / (100 * n) > share
+
+
 def test_edge_cases(documents):
     rows = [(1, None), (2, ""), (3, "\n\n\n"), (4, "a"), (5, "a"), (6, "a\nb\nc\nd\ne\nf\ng\nh"), (7, "a\nb\nc\nd\ne\nf\ng\nh"), (8, "ü\r\nß\t\n" * 3000)]
     assert result(linededup.dedup_lines(documents(rows))) == brute(rows)
