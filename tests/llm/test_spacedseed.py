@@ -8,7 +8,7 @@ import re
 import numpy as np
 from oracle import DATA
 
-from stowage.llm import spacedseed
+from stowage.llm import common, spacedseed, words
 
 
 def split(text):
@@ -48,7 +48,7 @@ def test_whole_table_against_brute_force(spark):
         own, item = words[r.doc_id][r.start_word : r.start_word + r.n_overlap], tests[r.item_id]
         assert r.n_item_words == len(item)
         best = max(sum(a == b for a, b in zip(own, item[k : k + len(own)], strict=False)) for k in range(len(item) - len(own) + 1))
-        assert best == r.n_matched >= min(spacedseed.MIN_WORDS, len(item))
+        assert best == r.n_matched >= spacedseed.needed(len(item))
         assert r.n_matched >= spacedseed.IDENTITY * r.n_overlap
 
 
@@ -79,7 +79,7 @@ def test_edge_cases(spark, documents):
     own = " ".join(made(rng, 30))
     docs = [(1, None), (2, ""), (3, own), (4, f"{own} x {own}"), (5, own.upper().replace(" ", "\n\t")), (6, "one two three four five six seven eight"), (7, "one two three four five six seven"), (8, "y " * 30_000 + own)]
     items = [(1, own), (2, own), (3, None), (4, ""), (5, "a b"), (6, "One two three four five six seven eight")]
-    expected = {(i, j) for i in (3, 4, 5, 8) for j in (1, 2)} | {(6, 6)}
+    expected = {(i, j) for i in (3, 4, 5, 8) for j in (1, 2)} | {(6, 6), (7, 6)}
     out = spacedseed.contaminated(documents(docs), items_table(spark, items))
     assert pairs(out) == expected
     assert out.count() == len(expected)
@@ -94,6 +94,49 @@ def test_many_copies_of_a_contaminated_document(spark, documents):
     assert len(pairs(spacedseed.contaminated(documents([(i, own) for i in range(500)]), items_table(spark, [(1, own)])))) == 500
 
 
+def test_short_items(spark, documents):
+    """Below the length of a seed the whole item has to be there; from there on a share of its words."""
+    rng = random.Random(7)
+    items = [(n, " ".join(made(rng, n))) for n in range(1, 13)]
+    docs, expected = [], set()
+    for n, t in items:
+        own = t.split()
+        docs += [(10 * n, " ".join([*made(rng, 30), *own, *made(rng, 30)])), (10 * n + 1, " ".join([*made(rng, 30), *own[:-1], "changed", *made(rng, 30)])), (10 * n + 2, t.upper())]
+        expected |= {(10 * n, n), (10 * n + 2, n)}
+        if n > 7:  # a seed of seven words is left, and eight in ten
+            expected.add((10 * n + 1, n))
+    assert pairs(spacedseed.contaminated(documents(docs), items_table(spark, items))) == expected
+
+
+def test_hot_seeds_items_and_ids(spark, documents, monkeypatch):
+    """Many documents share a phrase with many items, and many rows share an id."""
+    monkeypatch.setattr(common, "HOT", 3)
+    rng = random.Random(8)
+    phrase = " ".join(made(rng, 12))
+    items = [(j, f"{phrase} {' '.join(made(rng, 5))}") for j in range(20)]
+    docs = [(i, f"{' '.join(made(rng, 9))} {phrase} {' '.join(made(rng, 9))}") for i in range(150)]
+    got = pairs(spacedseed.contaminated(documents(docs), items_table(spark, items)))
+    assert got == {(i, j) for i in range(150) for j in range(20)}
+    same = spacedseed.contaminated(documents([(1, docs[0][1])] * 50 + [(1, docs[1][1]), (1, "clean words")]), items_table(spark, items[:1])).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_matched) for r in same) == [(1, 0, 12)] * 2
+
+
+def test_long_text_is_hashed_in_pieces(spark, documents):
+    """The same hashes for a text whole and in pieces, and a passage across two of them."""
+    rng = random.Random(9)
+    long = " ".join(made(rng, 150_000)).encode()
+    data = np.frombuffer(long, np.uint8)
+    whole, counts = words._hashes(data, np.array([0, len(data)]))
+    assert len(data) > words.ROUND
+    cut, n = words.word_hashes(data, np.array([0, len(data)]))
+    assert np.array_equal(whole, cut)
+    assert n.tolist() == counts.tolist()
+    own = " ".join(made(rng, 40))
+    text = long.decode()
+    at = text.index(" ", words.ROUND - 100)
+    assert pairs(spacedseed.contaminated(documents([(1, f"{text[:at]} {own}{text[at:]}"), (2, "x" * (3 * words.ROUND))]), items_table(spark, [(1, own)]))) == {(1, 1)}
+
+
 def longest(same):
     """Most matches of any run of which at least IDENTITY match, by trying all."""
     return max((sum(same[i:j]) for i in range(len(same)) for j in range(i + 1, len(same) + 1) if 5 * sum(same[i:j]) >= 4 * (j - i)), default=0)
@@ -128,7 +171,7 @@ def test_random_substitutions_against_brute_force(spark, documents):
         items.append((j, " ".join(own)))
         changed = rng.sample(range(len(own)), rng.randint(1, 6))
         same = [k not in changed for k in range(len(own))]
-        if seeded(same) and longest(same) >= spacedseed.MIN_WORDS:
+        if seeded(same) and longest(same) >= spacedseed.needed(len(same)):
             expected.add((j, j))
         docs.append((j, " ".join([*made(rng, 20), *(w if s else "changed" for w, s in zip(own, same, strict=True)), *made(rng, 20)])))
     for n in range(13, 17):
@@ -136,7 +179,7 @@ def test_random_substitutions_against_brute_force(spark, documents):
         items.append((1000 + n, " ".join(own)))
         for k in range(n):
             same = [x != k for x in range(n)]
-            if seeded(same) and longest(same) >= spacedseed.MIN_WORDS:
+            if seeded(same) and longest(same) >= spacedseed.needed(len(same)):
                 expected.add((10_000 + 100 * n + k, 1000 + n))
             docs.append((10_000 + 100 * n + k, " ".join([*made(rng, 9), *own[:k], "changed", *own[k + 1 :], *made(rng, 9)])))
     own = made(rng, 29)
