@@ -3,7 +3,14 @@
 Each stage reads all that its predecessor kept, and its decisions take
 effect: toxic documents go, repeated chunks of lines go, one document of each
 group of near duplicates stays, documents with benchmark passages go, and what is left
-is packed by length. All stages but the last return the columns of documents.
+is packed by length, in tokens. All stages but the last return the columns of documents.
+
+Edge cases, as every stage defines them. Rows with a null or an empty text stay to the end and are packed with
+length 0. Rows without an id are judged by their text like all others. Rows that share an id are judged each by
+their own text; repeated rows are near duplicates of each other, and one stays. Of equally good candidates
+the one with the smallest id stays. Very long texts are read whole. Empty tables give an empty result; without
+labels no document is toxic, without a benchmark none is contaminated. Extra columns of documents go along
+up to packing, also those with names that a stage adds; they are not part of the last result.
 """
 
 from __future__ import annotations
@@ -26,14 +33,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of every group of near duplicates."""
-    gone = minhash.near_duplicates(docs, percent=80).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return minhash.first_of_groups(docs, percent=80).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold passages of the benchmark."""
-    gone = spacedseed.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return spacedseed.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
