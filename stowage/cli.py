@@ -5,14 +5,16 @@ from __future__ import annotations
 import argparse
 import shutil
 import sys
-import tempfile
-from pathlib import Path
+import uuid
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
-from stowage.api import create_archive, extract_archive
+from stowage.api import check_path, create_archive, extract_archive, is_mounted
 from stowage.functions.sizes import format_size
 from stowage.model import Config, StowageError
+from stowage.plans.scale import checkpoint_dir
+from stowage.sources.files import filesystem
 
 
 def parser() -> argparse.ArgumentParser:
@@ -27,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("region", "access-key-id", "secret-access-key", "session-token", "assume-role-arn", "assume-role-external-id", "assume-role-session-name", "endpoint", "user-agent"):
         p.add_argument(f"--{name}")
     p.add_argument("--path-style", action="store_true")
+    p.add_argument("--shared-paths", action="store_true", help="plain paths are the same folder on all machines")
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("create", help="pack objects into an archive")
     out = c.add_mutually_exclusive_group(required=True)
@@ -51,20 +54,29 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.config(map=config.hadoop_conf()).getOrCreate()
     say = (lambda event, **v: None) if a.quiet else lambda event, **v: print(event, *(f"{k}={x}" for k, x in v.items()), file=sys.stderr)
     try:
-        with tempfile.TemporaryDirectory() as folder:
-            spool = f"{folder}/archive.tar"  # of standard input or output, which only the driver has
+        # standard input and output go through a file that all machines see
+        spool = f"{checkpoint_dir(spark)}/spool-{uuid.uuid4().hex}.tar" if a.command == "create" and a.stdout or a.command == "extract" and a.stdin else None
+        if spool and a.command == "extract":
+            check_path(spark, a.target, config)
+        if spool and is_mounted(spool):
+            config = replace(config, shared_paths=True)  # the checkpoint folder is
+        where, name = filesystem(spool, config.store_options()) if spool else (None, None)
+        try:
             if a.command == "create":
-                done = create_archive(spark, a.objects, a.file or a.s3 or spool, config, progress=say)
-                if a.stdout:
-                    with Path(spool).open("rb") as f:
+                done = create_archive(spark, a.objects, spool or a.file or a.s3, config, progress=say)
+                if spool:
+                    with where.open_input_stream(name) as f:
                         shutil.copyfileobj(f, sys.stdout.buffer)
                 size, count = done.archive_bytes, done.n_objects
             else:
-                if a.stdin:
-                    with Path(spool).open("wb") as f:
+                if spool:
+                    with where.open_output_stream(name) as f:
                         shutil.copyfileobj(sys.stdin.buffer, f)
-                done = extract_archive(spark, a.file or a.s3 or spool, a.target, a.filters, config, progress=say)
+                done = extract_archive(spark, spool or a.file or a.s3, a.target, a.filters, config, progress=say)
                 size, count = done.extracted_bytes, done.extracted_objects
+        finally:
+            if spool and where.get_file_info(name).type.name == "File":
+                where.delete_file(name)
     except StowageError as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

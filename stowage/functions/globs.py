@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from stowage.model import InvalidGlob
 
 META = "*?[]"
+#: A class without members.
+NOTHING = r"[^\x{0}-\x{10FFFF}]"
 
 
 def is_glob(text: str) -> bool:
@@ -48,7 +51,7 @@ def _class(pattern: str, at: int) -> tuple[str, int]:
     if negated:
         parts.append(("/", "/"))
     if not parts:
-        return r"[^\x{0}-\x{10FFFF}]", end + 1  # matches nothing
+        return NOTHING, end + 1
     quote = lambda c: "\\" + c if c in r"\]^-[&~" else c
     body = "".join(quote(a) if a == b else f"{quote(a)}-{quote(b)}" for a, b in parts)
     return f"[{'^' if negated else ''}{body}]", end + 1
@@ -88,6 +91,12 @@ def glob_to_regex(pattern: str) -> str:
     return f"(?s)^{''.join(out)}$"
 
 
+@lru_cache(maxsize=1000)
+def compiled(pattern: str) -> re.Pattern:
+    """The same expression for Python."""
+    return re.compile(glob_to_regex(pattern).removesuffix("$").replace(NOTHING, r"[^\x00-\U0010FFFF]") + r"\Z")
+
+
 def matches_glob(key: Column, pattern: str) -> Column:
     """Keys that match. The literal prefix is a condition of its own, which a source can take over."""
     regex, prefix = key.rlike(glob_to_regex(pattern).removesuffix("$") + r"\z"), literal_prefix(pattern)

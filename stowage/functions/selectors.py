@@ -9,13 +9,13 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stowage.functions.globs import glob_to_regex, is_glob, matches_glob
+from stowage.functions.globs import compiled, glob_to_regex, is_glob, literal_prefix, matches_glob
 from stowage.model import InvalidFilter
 
 
 @dataclass(frozen=True)
 class Selector:
-    """One input of an archive: all of a bucket, a prefix, a glob or one object."""
+    """One input of an archive: all of a bucket, a prefix, a glob or one object. A listing may also be of all ``below`` a prefix."""
 
     kind: str
     value: str | None = None
@@ -37,10 +37,20 @@ class Selector:
             return F.lit(True)
         if self.kind == "glob":
             return matches_glob(key, self.value)
+        if self.kind == "below":
+            return key.startswith(self.value)
         if self.kind == "prefix":
             return key.startswith(self.value) & ~F.substring(key, F.lit(len(self.value) + 1), F.length(key)).contains("/")
         return key == self.value
 
+    def scope(self) -> dict[str, str]:
+        """Options of a listing that has all keys which are selected, and few others."""
+        if self.kind == "bucket":
+            return {}
+        if self.kind in ("glob", "below"):
+            return {"prefix": literal_prefix(self.value) if self.kind == "glob" else self.value}
+        return {"prefix": self.value, "direct": "true"} if self.kind == "prefix" else {"key": self.value}
+
     def describe(self, bucket: str) -> str:
         """For messages."""
         return {"bucket": f"all objects of {bucket}", "prefix": f"objects under {bucket}/{self.value}", "glob": f"objects of {bucket} matching {self.value}", "object": f"object {bucket}/{self.value}"}[self.kind]
@@ -69,6 +79,23 @@ class EntryFilter:
         return key.startswith(self.value) if self.kind == "prefix" else key == self.value
 
 
+    def takes(self, key: str) -> bool:
+        """The same for one key, where headers are read."""
+        if self.kind == "glob":
+            return compiled(self.value).match(key) is not None
+        return key.startswith(self.value) if self.kind == "prefix" else key == self.value
+
+
+def scopes(selectors: list[Selector]) -> list[Selector]:
+    """Selectors whose listings together have all keys that any of these selects; what a longer listing has is not listed again."""
+    deep = sorted({s.scope().get("prefix", "") for s in selectors if s.kind in ("bucket", "glob")})
+    deep = [p for p in deep if not any(q != p and p.startswith(q) for q in deep)]
+    inside = lambda key: any(key.startswith(p) for p in deep)
+    folders = sorted({s.value for s in selectors if s.kind == "prefix" and not inside(s.value)})
+    keys = sorted({s.value for s in selectors if s.kind == "object" and not inside(s.value) and s.value.rpartition("/")[0] + "/" not in folders})
+    return [*(Selector("below", p) if p else Selector("bucket") for p in deep), *(Selector("prefix", p) for p in folders), *(Selector("object", k) for k in keys)]
+
+
 def any_filter(filters: list[EntryFilter], key: Column | None = None) -> Column:
     """Entries that any filter takes; all of them if there is none."""
     return reduce(or_, (f.predicate(key) for f in filters)) if filters else F.lit(True)

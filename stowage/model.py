@@ -51,6 +51,8 @@ class Config:
     path_style: bool = False
     user_agent: str | None = None
     credentials_provider: str | None = None
+    #: Plain paths are the same folder on all machines. On a cluster they are refused otherwise.
+    shared_paths: bool = False
     extra: dict[str, str] = field(default_factory=dict)
 
     @property

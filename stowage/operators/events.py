@@ -66,6 +66,29 @@ def progress(events: DataFrame, sizes: DataFrame, keys: list[str], event: str =
     return joined.select(*keys, "part_number", "bytes", "uploaded", "size", (F.col("uploaded") > F.col("size")).alias("exceeds"), (F.col("uploaded") == F.col("size")).alias("done"))
 
 
+#: For each object: the event whose bytes are those of the other, and how the parts of an object add up to it.
+BY_KEY = (
+    ("input_object_download_started", "input_object_download_completed"),
+    ("input_object_download_completed", "archive_object_written"),
+    ("input_object_download_completed", "input_part_downloaded"),
+    ("input_part_unordered_downloaded", "input_part_downloaded"),
+    ("input_part_downloaded", "archive_part_written"),
+    ("extract_object_starting", "extract_object_finished"),
+    ("extract_object_finished", "extract_object_part_read"),
+    ("object_upload_starting", "object_uploaded"),
+    ("object_uploaded", "object_part_uploaded"),
+)
+
+
+def mismatched(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``key, left, right, left_bytes, right_bytes``: objects whose bytes differ between two events that should agree, or that lack one."""
+    keys = keys or ["key"]
+    names = sorted({e for pair in BY_KEY for e in pair})
+    sums = events.where(F.col("event").isin(*names)).groupBy(*keys).agg(*(F.sum(F.when(F.col("event") == e, F.col("bytes"))).alias(e) for e in names))
+    pairs = F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).cast("long").alias("left_bytes"), F.col(b).cast("long").alias("right_bytes")) for a, b in BY_KEY))
+    return sums.select(*keys, F.inline(pairs)).where(~F.col("left_bytes").eqNullSafe(F.col("right_bytes")))
+
+
 def create_log(index: DataFrame, parts: DataFrame) -> DataFrame:
     """The log of a successful create job, derived from its plan: ``event, bucket, key, version_id, part_number, bytes``.
 

@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stowage.model import StowageError
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one where none is set, as in tests."""
+    """The session's checkpoint folder; in local mode, a temporary one where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stowage-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise StowageError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stowage-"))
     return sc.getCheckpointDir()
 
 

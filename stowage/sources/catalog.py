@@ -37,12 +37,13 @@ def bucket_of(url: str) -> tuple[str, str]:
 def list_bucket(spark: SparkSession, url: str, selector: Selector | None = None, store: dict[str, str] | None = None) -> DataFrame:
     """Objects of a bucket or below a folder, with the ``path`` of each; contents are not read.
 
-    A selector's literal prefix narrows the listing itself.
+    A selector narrows the listing itself: a single object is looked up, a prefix is one folder, and a glob
+    begins at its literal prefix.
     """
     register(spark)
     root, bucket = bucket_of(url)
-    files = spark.read.format("stowage-listing").options(**store_options(store or {})).load(root)
-    files = files.where(selector.predicate()) if selector else files
+    selector = selector or Selector("bucket")
+    files = spark.read.format("stowage-listing").options(**selector.scope(), **store_options(store or {})).load(root).where(selector.predicate())
     return files.select(F.lit(bucket).alias("bucket"), "key", F.lit(None).cast("string").alias("version_id"), "size", "timestamp", "path")
 
 

@@ -2,8 +2,10 @@
 
 Spark's own file sources leave out empty files and those whose names begin
 with a dot or an underscore; an archive must not. One folder is listed
-on the driver, and each folder below it is a partition, walked by its task. A
-prefix of keys that a query asks for decides where the listing begins.
+on the driver, and each folder below it is a partition, walked by its task.
+
+Options say what is wanted: ``prefix`` decides where the listing begins, with ``direct`` only
+that one folder is listed, and ``key`` asks for a single file, which is looked up and not listed.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from stowage.sources.files import filesystem, store_of
@@ -31,14 +33,8 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.url = options["path"].rstrip("/")
         self.store = store_of(options)
-        self.prefix = ""
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Takes the longest prefix to begin with; all filters are also applied by Spark."""
-        for f in filters:
-            if isinstance(f, (StringStartsWith, EqualTo)) and f.attribute == ("key",) and isinstance(f.value, str) and len(f.value) > len(self.prefix):
-                self.prefix = f.value
-            yield f
+        self.prefix, self.key = options.get("prefix", ""), options.get("key")
+        self.direct = options.get("direct", "false").lower() == "true"
 
     def _start(self) -> tuple:
         where, root = filesystem(self.url, self.store)
@@ -46,7 +42,11 @@ class _Reader(DataSourceReader):
         return where, root, f"{root}/{folder}" if folder else root
 
     def partitions(self) -> list[InputPartition]:
-        where, _, start = self._start()
+        where, root, start = self._start()
+        if self.key is not None:
+            return [Folder(f"{root}/{self.key}", False)]
+        if self.direct:
+            return [Folder(start, False)]
         return [Folder(start, False), *(Folder(i.path, True) for i in _listed(where, start) if i.type.name == "Directory")]
 
     def read(self, partition: Folder) -> Iterator:
@@ -63,7 +63,11 @@ class _Reader(DataSourceReader):
                 names=["key", "size", "timestamp", "path"],
             )
 
-        folders = [partition.path]
+        if self.key is not None:
+            own = where.get_file_info(partition.path)
+            if own.type.name == "File":
+                found.append(own)
+        folders = [partition.path] if self.key is None else []
         while folders:
             for i in _listed(where, folders.pop()):
                 if i.type.name == "File":

@@ -1,8 +1,9 @@
 """Tar archives as Spark data sources.
 
-``stowage-tar`` reads: one header walk, which seeks over all data, finds the
-entries; their byte ranges are then read in parallel. ``stowage-tar-writer``
-writes: every row says where its bytes stand in the archive, so tasks write
+``stowage-tar`` reads: one header walk on the driver, which seeks over all data, cuts the archive into
+spans and keeps only their bounds; tasks walk the headers of their span again and read what is wanted. Filters are an
+option (``filters``, a JSON list of texts), so the data of entries that none takes is never read.
+``stowage-tar-writer`` writes: every row says where its bytes stand in the archive, so tasks write
 them in parallel.
 
 Files are opened as ``sources.files`` says: local ones, or those of whatever file
@@ -11,19 +12,23 @@ system pyarrow knows for the scheme.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from stowage.model import TAR_BLOCK, TAR_NAME, CorruptArchive
+from stowage.functions.selectors import EntryFilter
+from stowage.model import TAR_BLOCK, TAR_NAME, CorruptArchive, StowageError
 from stowage.sources.files import filesystem, open_path, store_of
 from stowage.sources.listing import Listing
 
 ENTRY_SCHEMA = "key string, size long, header_offset long, data_offset long, type string"
+#: Entries of a span.
+SPAN = 10_000
 PART_SCHEMA = "key string, size long, part_number int, range_start long, range_end long, data binary"
 
 
@@ -47,10 +52,10 @@ class Entry:
     type: str
 
 
-def headers(f) -> Iterator[Entry]:
-    """Entries of an archive in order, from its headers only. Long names and pax records belong to the entry after them."""
-    at, begun, name, size = 0, None, None, None
-    while True:
+def headers(f, at: int = 0, stop: int | None = None) -> Iterator[Entry]:
+    """Entries of an archive in order, from its headers only, from one that begins at ``at`` up to ``stop``. Long names and pax records belong to the entry after them."""
+    begun, name, size = None, None, None
+    while stop is None or at < stop:
         f.seek(at)
         block = f.read(TAR_BLOCK)
         if len(block) < TAR_BLOCK or not any(block):
@@ -82,7 +87,12 @@ def headers(f) -> Iterator[Entry]:
 
 @dataclass
 class Span(InputPartition):
-    rows: list
+    """Entries from one offset to another; of a single large one, the parts from ``first`` to ``last``."""
+
+    start: int
+    stop: int
+    first: int = 0
+    last: int | None = None
 
 
 class _Reader(DataSourceReader):
@@ -94,49 +104,44 @@ class _Reader(DataSourceReader):
         self.all = options.get("allTypes", "false").lower() == "true"
         self.chunk = parse_size(options.get("chunkSize", "8MiB"))
         self.threshold = parse_size(options.get("multipartThreshold", "8MiB"))
-        self.exact: set[str] | None = None
-        self.prefixes: list[str] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Keys and prefixes of keys are decided on the headers, so that data that is not wanted is never read."""
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("key",):
-                self.exact = {f.value} if self.exact is None else self.exact & {f.value}
-            elif isinstance(f, StringStartsWith) and f.attribute == ("key",):
-                self.prefixes.append(f.value)
-            else:
-                yield f
+        self.filters = [EntryFilter.parse(f) for f in json.loads(options.get("filters", "[]"))]
 
     def wanted(self, e: Entry) -> bool:
-        return (self.all or e.type in "07") and (self.exact is None or e.key in self.exact) and all(e.key.startswith(p) for p in self.prefixes)
+        return (self.all or e.type in "07") and (not self.filters or any(f.takes(e.key) for f in self.filters))
 
     def partitions(self) -> list[InputPartition]:
-        """Runs of entries, or of parts with about a chunk of data together."""
-        out, rows, held = [], [], 0
+        """Spans of entries with about a chunk of wanted data together; a large entry has spans of its own."""
+        out, start, n, held, end = [], 0, 0, 0, 0
         with open_path(self.path, self.store) as f:
-            for e in filter(self.wanted, headers(f)):
-                if not self.parts:
-                    pieces = [(e.key, e.size, e.header_offset, e.data_offset, e.type)]
-                elif e.size < self.threshold:
-                    pieces = [(e.key, e.size, 0, 0, e.size, e.data_offset)]
-                else:
-                    pieces = [(e.key, e.size, i, a, min(a + self.chunk, e.size), e.data_offset + a) for i, a in enumerate(range(0, max(e.size, 1), self.chunk))]
-                for p in pieces:
-                    rows.append(p)
-                    held += p[4] - p[3] if self.parts else 0
-                    if held >= self.chunk or len(rows) >= 10_000:
-                        out.append(Span(rows))
-                        rows, held = [], 0
-        return [*out, Span(rows)] if rows or not out else out
+            for e in headers(f):
+                wanted = self.wanted(e)
+                end = e.data_offset + e.size
+                if self.parts and wanted and e.size >= self.threshold:
+                    if n:
+                        out.append(Span(start, e.header_offset))
+                    out += [Span(e.header_offset, e.data_offset, i, i + 1) for i in range(max(1, -(-e.size // self.chunk)))]
+                    start, n, held = end, 0, 0
+                    continue
+                if not n:
+                    start = e.header_offset
+                n, held = n + wanted, held + (e.size if self.parts and wanted else 0)
+                if held >= self.chunk or n >= SPAN:
+                    out.append(Span(start, end))
+                    n, held = 0, 0
+        return [*out, Span(start, end)] if n or not out else out
 
     def read(self, partition: Span) -> Iterator[tuple]:
-        if not self.parts:
-            yield from partition.rows
-        elif partition.rows:
-            with open_path(self.path, self.store) as f:
-                for key, size, i, a, b, at in partition.rows:
-                    f.seek(at)
-                    yield key, size, i, a, b, f.read(b - a)
+        with open_path(self.path, self.store) as f:
+            for e in filter(self.wanted, headers(f, partition.start, partition.stop)):
+                if not self.parts:
+                    yield e.key, e.size, e.header_offset, e.data_offset, e.type
+                    continue
+                count = 1 if e.size < self.threshold else max(1, -(-e.size // self.chunk))
+                for i in range(partition.first, count if partition.last is None else partition.last):
+                    a = i * self.chunk
+                    b = e.size if i + 1 == count else a + self.chunk
+                    f.seek(e.data_offset + a)
+                    yield e.key, e.size, i, a, b, f.read(b - a)
 
 
 class TarSource(DataSource):
@@ -178,36 +183,94 @@ def entry_header(key: str, size: int) -> bytes:
 
 @dataclass
 class Piece(WriterCommitMessage):
-    """A file that a task wrote, and its runs of bytes: offset in the archive, length, offset in the file."""
+    """A file that a task wrote, its runs of bytes (offset in the archive, length, offset in the file), and the ends of each run to find again."""
 
     path: str
     spans: list
+    ends: list
+    events: str | None = None
 
 
-def _whole(rows: Iterator) -> Iterator[tuple[int, bytes]]:
-    """Offset and bytes of each row, with the header before an entry's first part and the padding after its last."""
+def _whole(rows: Iterator) -> Iterator[tuple]:
+    """Each row with its offset and bytes, with the header before an entry's first part and the padding after its last."""
     for r in rows:
         data, offset = bytes(r.data or b""), r.data_offset + r.range_start
         if r.range_start == 0:
             data, offset = entry_header(r.key, r.size) + data, r.header_offset
         if r.range_end == r.size:
             data += b"\0" * (-r.size % TAR_BLOCK)
-        yield offset, data
+        yield r, offset, data
+
+
+class _Runs:
+    """Runs of bytes that a task has written, with the first and the last block of each."""
+
+    def __init__(self) -> None:
+        self.spans: list[tuple[int, int, int]] = []
+        self.ends: list[list[tuple[int, bytes]]] = []
 
+    def add(self, offset: int, data: bytes, at: int) -> None:
+        """Adds bytes; those that go on where the last run ends become part of it."""
+        n, last = len(data), (offset + max(0, len(data) - TAR_BLOCK), bytes(data[-TAR_BLOCK:]))
+        if self.spans and self.spans[-1][0] + self.spans[-1][1] == offset and self.spans[-1][2] + self.spans[-1][1] == at:
+            self.spans[-1] = (self.spans[-1][0], self.spans[-1][1] + n, self.spans[-1][2])
+            self.ends[-1][1] = last
+        else:
+            self.spans.append((offset, n, at))
+            self.ends.append([(offset, bytes(data[:TAR_BLOCK])), last])
 
-def _extend(spans: list, offset: int, n: int, at: int) -> None:
-    """Adds a run of bytes; one that goes on where the last ends becomes part of it."""
-    if spans and spans[-1][0] + spans[-1][1] == offset and spans[-1][2] + spans[-1][1] == at:
-        spans[-1] = (spans[-1][0], spans[-1][1] + n, spans[-1][2])
-    else:
-        spans.append((offset, n, at))
+
+class _Events:
+    """The events of a task's rows, as a Parquet file of its own attempt; the commit moves those of successful ones to the log."""
+
+    SCHEMA = "event string, key string, part_number int, bytes long"
+
+    def __init__(self, folder: str, store: dict[str, str], chunk: int) -> None:
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        self.where, root = filesystem(folder, store)
+        self.chunk = chunk
+        self.where.create_dir(f"{root}/_attempts", recursive=True)
+        self.name = f"{uuid.uuid4().hex}.parquet"
+        self.types = pa.schema([("event", pa.string()), ("key", pa.string()), ("part_number", pa.int32()), ("bytes", pa.int64())])
+        self.file = self.where.open_output_stream(f"{root}/_attempts/{self.name}")
+        self.out, self.rows = pq.ParquetWriter(self.file, self.types), []
+
+    def add(self, r) -> None:
+        """What reading and writing one part means for its object and the archive."""
+        n = r.range_end - r.range_start
+        if r.range_start == 0:
+            self.rows.append(("input_object_download_started", r.key, None, r.size))
+        number = r.range_start // self.chunk
+        self.rows += [(e, r.key, number, n) for e in ("input_part_unordered_downloaded", "input_part_downloaded", "archive_part_written")]
+        if r.range_end == r.size:
+            entry = r.data_offset - r.header_offset + -(-r.size // TAR_BLOCK) * TAR_BLOCK
+            self.rows += [("input_object_download_completed", r.key, None, r.size), ("archive_object_written", r.key, None, r.size), ("archive_bytes_written", r.key, None, entry)]
+        if len(self.rows) > 20_000:
+            self.flush()
+
+    def flush(self) -> None:
+        import pyarrow as pa
+
+        cols = list(zip(*self.rows, strict=True)) or [[]] * 4
+        self.out.write_table(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, self.types, strict=True)], schema=self.types))
+        self.rows = []
+
+    def close(self) -> str:
+        self.flush()
+        self.out.close()
+        self.file.close()
+        return self.name
 
 
 class _Writer(DataSourceWriter):
     """Writes rows where their offsets say.
 
     On a mounted file system every task writes its bytes in place, into a
-    file beside the target that the commit closes with the trailer and renames. A task that
+    file beside the target. The driver creates it and tasks only open it, so a folder that is not the
+    same for all machines is an error and not a gap. The commit looks for what tasks say they
+    wrote, adds the trailer and renames the file. A task that
     is run again writes the same bytes to the same places.
 
     Other stores have no writes in place: there each attempt writes a file of
@@ -217,6 +280,9 @@ class _Writer(DataSourceWriter):
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.store = options["path"], store_of(options)
         self.work = f"{self.path}.parts-{uuid.uuid4().hex}"
+        self.events, self.chunk = options.get("events"), int(options.get("chunk", 8 << 20))
+        if self._mounted():
+            os.close(os.open(filesystem(self.work, self.store)[1], os.O_CREAT | os.O_EXCL | os.O_WRONLY, 0o644))
 
     def _mounted(self) -> bool:
         from pyarrow import fs
@@ -225,30 +291,38 @@ class _Writer(DataSourceWriter):
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         where, name = filesystem(self.work, self.store)
-        spans: list = []
+        runs, log = _Runs(), _Events(self.events, self.store, self.chunk) if self.events else None
         if self._mounted():
-            fd = os.open(name, os.O_CREAT | os.O_WRONLY, 0o644)
             try:
-                for offset, data in _whole(rows):
+                fd = os.open(name, os.O_WRONLY)
+            except FileNotFoundError as e:
+                raise StowageError(f"{self.path}: not the same folder here as on the driver") from e
+            try:
+                for r, offset, data in _whole(rows):
                     done = 0
                     while done < len(data):
                         done += os.pwrite(fd, memoryview(data)[done:], offset + done)
-                    _extend(spans, offset, len(data), offset)
+                    runs.add(offset, data, offset)
+                    if log:
+                        log.add(r)
                 os.fsync(fd)
             finally:
                 os.close(fd)
-            return Piece(name, spans)
+            return Piece(name, runs.spans, runs.ends, log.close() if log else None)
         where.create_dir(name, recursive=True)
         own, at = f"{name}/{uuid.uuid4().hex}", 0
         with where.open_output_stream(own) as out:
-            for offset, data in _whole(rows):
+            for r, offset, data in _whole(rows):
                 out.write(data)
-                _extend(spans, offset, len(data), at)
+                runs.add(offset, data, at)
                 at += len(data)
-        return Piece(own, spans)
+                if log:
+                    log.add(r)
+        return Piece(own, runs.spans, [], log.close() if log else None)
 
     def commit(self, messages: list) -> None:
-        pieces = sorted((offset, n, m.path, at) for m in messages if m for offset, n, at in m.spans)
+        messages = [m for m in messages if m]
+        pieces = sorted((offset, n, m.path, at) for m in messages for offset, n, at in m.spans)
         end = 0
         for offset, n, _, _ in pieces:
             if offset != end:
@@ -256,26 +330,48 @@ class _Writer(DataSourceWriter):
                 raise CorruptArchive(f"bytes {end} to {offset} of the archive are missing or there twice")
             end += n
         if self._mounted():
-            name = filesystem(self.work, self.store)[1]
-            fd = os.open(name, os.O_CREAT | os.O_WRONLY, 0o644)
-            try:
-                os.ftruncate(fd, end + 2 * TAR_BLOCK)
-                os.fsync(fd)
-            finally:
-                os.close(fd)
-            os.replace(name, filesystem(self.path, self.store)[1])
-            return
-        where, name = filesystem(self.path, self.store)
-        with where.open_output_stream(name) as out:
-            for _, n, path, at in pieces:
-                with where.open_input_file(path) as f:
-                    f.seek(at)
-                    while n:
-                        data = f.read(min(n, 8 << 20))
-                        out.write(data)
-                        n -= len(data)
-            out.write(b"\0" * (2 * TAR_BLOCK))
-        self._clean()
+            self._close_in_place(messages, end)
+        else:
+            where, name = filesystem(self.path, self.store)
+            with where.open_output_stream(name) as out:
+                for _, n, path, at in pieces:
+                    with where.open_input_file(path) as f:
+                        f.seek(at)
+                        while n:
+                            data = f.read(min(n, 8 << 20))
+                            if not data:
+                                raise CorruptArchive(f"{path} ends too early")
+                            out.write(data)
+                            n -= len(data)
+                out.write(b"\0" * (2 * TAR_BLOCK))
+            self._clean()
+        if self.events:
+            where, root = filesystem(self.events, self.store)
+            for m in messages:
+                where.move(f"{root}/_attempts/{m.events}", f"{root}/{m.events}")
+            where.delete_dir(f"{root}/_attempts") if messages else None
+
+    def _close_in_place(self, messages: list, end: int) -> None:
+        """Checks what is there, adds the trailer and gives the file its name."""
+        name = filesystem(self.work, self.store)[1]
+        try:
+            fd = os.open(name, os.O_RDWR)
+        except FileNotFoundError as e:
+            raise CorruptArchive(f"{self.path}: what tasks have written is gone") from e
+        try:
+            if os.fstat(fd).st_size != end:
+                raise CorruptArchive(f"{self.path}: tasks have written {end} bytes, but {os.fstat(fd).st_size} are there; is the folder the same for all machines?")
+            for offset, data in (e for m in messages for pair in m.ends for e in pair):
+                if os.pread(fd, len(data), offset) != data:
+                    raise CorruptArchive(f"{self.path}: bytes at {offset} are not those that a task has written")
+            os.ftruncate(fd, end + 2 * TAR_BLOCK)
+            os.fsync(fd)
+        except CorruptArchive:
+            self._clean()
+            raise
+        finally:
+            os.close(fd)
+        os.replace(name, filesystem(self.path, self.store)[1])
 
     def abort(self, messages: list) -> None:
         self._clean()
@@ -306,8 +402,7 @@ class TarSink(DataSource):
 
 
 def register(spark) -> None:
-    """Makes the formats known to a session, and lets filters reach their readers."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Makes the formats known to a session."""
     spark.dataSource.register(Listing)
     spark.dataSource.register(TarSource)
     spark.dataSource.register(TarSink)

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
+import pickle
 import random
 import tarfile
 from pathlib import Path
 
 import pytest
 
-from stowage.api import create_archive, extract_archive, list_archive, split_input
-from stowage.model import ArchiveNotFound, Config, CorruptArchive, EmptyArchive, InvalidKey, NoInputs, NothingMatched, ObjectNotFound
+from stowage import api
+from stowage.api import check_path, create_archive, extract_archive, list_archive, split_input
+from stowage.functions.selectors import EntryFilter
+from stowage.model import ArchiveNotFound, Config, CorruptArchive, EmptyArchive, InvalidKey, NoInputs, NothingMatched, ObjectNotFound, StowageError
+from stowage.operators import events
 from stowage.plans.index import archive_index, archive_totals, check_keys
+from stowage.sources import tar
 from stowage.sources.tar import headers
 
 KIB = 1024
@@ -170,11 +176,135 @@ def test_pax_and_ustar_archives(spark, tmp_path):
         assert sorted(r.key for r in list_archive(spark, str(path)).collect()) == sorted(names)
 
 
-def test_filters_reach_the_reader(spark, archive):
-    plan = list_archive(spark, str(archive)).where("key = 'small'")._jdf.queryExecution().toString()
-    assert "key = 'small'" in plan or "EqualTo" in plan or "small" in plan
-    assert [r.key for r in list_archive(spark, str(archive)).where("key = 'small'").collect()] == ["small"]
-    assert sorted(r.key for r in list_archive(spark, str(archive), ["long/*9*"]).collect()) == sorted(r.key for r in list_archive(spark, str(archive)).collect())
+class Counting(io.FileIO):
+    """A file that knows how many bytes were read from it."""
+
+    read_bytes = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        type(self).read_bytes += len(data)
+        return data
+
+
+@pytest.mark.parametrize("filters", [["small", "zero"], ["long/", "l/"], ["**/*9*.txt"], ["nothing/"]])
+def test_filters_decide_on_headers(archive, objects, monkeypatch, filters):
+    """Of entries that no filter takes, nothing but headers is read."""
+    monkeypatch.setattr(tar, "open_path", lambda path, store: Counting(path))
+    reader = tar._Reader({"path": str(archive), "parts": "true", "filters": json.dumps(filters), "chunkSize": "8KiB", "multipartThreshold": "8KiB"})
+    Counting.read_bytes = 0
+    spans = reader.partitions()
+    walked = Counting.read_bytes
+    rows = [r for s in spans for r in reader.read(pickle.loads(pickle.dumps(s)))]
+    taken = {k: v for k, v in objects.items() if any(EntryFilter.parse(f).takes(k) for f in filters)}
+    assert {k: b"".join(r[5] for r in sorted(rows, key=lambda r: r[2]) if r[0] == k) for k in {r[0] for r in rows}} == taken
+    assert Counting.read_bytes <= 2 * walked + sum(map(len, taken.values()))
+
+
+def test_spans_hold_bounds_only(archive, objects, monkeypatch):
+    """A span of entries is two numbers, however many entries it has; tasks walk its headers again."""
+    monkeypatch.setattr(tar, "SPAN", 4)
+    reader = tar._Reader({"path": str(archive)})
+    spans = reader.partitions()
+    assert len(spans) > 2
+    assert sorted(r[0] for s in spans for r in reader.read(s)) == sorted(objects)
+
+
+def test_parts_of_an_archive(spark, archive, objects):
+    rows = spark.read.format("stowage-tar").options(parts="true", chunkSize="8KiB", multipartThreshold="8KiB").load(str(archive)).orderBy("key", "part_number").collect()
+    assert {k: b"".join(bytes(r.data) for r in rows if r.key == k) for k in {r.key for r in rows}} == objects
+
+
+class Row:
+    def __init__(self, key, data, header_offset):
+        self.key, self.data, self.size, self.header_offset = key, data, len(data), header_offset
+        self.data_offset, self.range_start, self.range_end = header_offset + 512, 0, len(data)
+
+
+def writer(path):
+    return tar._Writer({"path": str(path)})
+
+
+def test_lost_bytes_fail_the_commit(tmp_path):
+    """Bytes that tasks say they wrote, but that the driver's file does not have."""
+    one, two = Row("a", b"x" * 600, 0), Row("b", b"y" * 100, 1536)
+    w = writer(tmp_path / "a.tar")
+    messages = [w.write([one]), w.write([two])]
+    w.commit(messages)
+    assert contents(tmp_path / "a.tar") == digests({"a": b"x" * 600, "b": b"y" * 100})
+
+    w = writer(tmp_path / "gone.tar")
+    messages = [w.write([one]), w.write([two])]
+    Path(w.work).unlink()
+    with pytest.raises(CorruptArchive):
+        w.commit(messages)
+
+    for damage in (lambda f: f.truncate(1536), lambda f: (f.seek(0), f.write(b"\0" * 600)), lambda f: (f.seek(1536), f.write(b"\0" * 1024))):
+        w = writer(tmp_path / "lost.tar")
+        messages = [w.write([one]), w.write([two])]
+        with Path(w.work).open("r+b") as f:
+            damage(f)
+        with pytest.raises(CorruptArchive):
+            w.commit(messages)
+    w = writer(tmp_path / "hole.tar")
+    with pytest.raises(CorruptArchive):
+        w.commit([w.write([two])])
+    assert [p.name for p in tmp_path.iterdir()] == ["a.tar"]
+
+
+def test_a_task_that_does_not_see_the_folder_fails(tmp_path):
+    w = writer(tmp_path / "a.tar")
+    Path(w.work).unlink()
+    with pytest.raises(StowageError, match="folder"):
+        w.write([Row("a", b"x", 0)])
+    assert not list(tmp_path.iterdir())
+
+
+def test_plain_paths_are_refused_on_clusters(tmp_path):
+    class Cluster:
+        class sparkContext:
+            master = "spark://there:7077"
+
+    with pytest.raises(StowageError, match="shared_paths"):
+        check_path(Cluster, str(tmp_path), Config())
+    check_path(Cluster, str(tmp_path), Config(shared_paths=True))
+    check_path(Cluster, "s3://bucket/key", Config())
+
+
+def test_events_of_a_run(spark, store, objects, tmp_path):
+    """Tasks log what they did; the log of a successful run holds all invariants, and every kind of event is told."""
+    told = {}
+    tell = lambda event, **v: told.update({event: v})
+    create_archive(spark, [str(store)], f"{tmp_path}/a.tar", SMALL, progress=tell, event_log=f"{tmp_path}/made")
+    extract_archive(spark, f"{tmp_path}/a.tar", f"{tmp_path}/out/", ["long/", "large"], SMALL, progress=tell, event_log=f"{tmp_path}/read", verify=True)
+    made, read = spark.read.parquet(f"{tmp_path}/made"), spark.read.parquet(f"{tmp_path}/read")
+    assert all(r.holds for r in events.reconcile(made.unionByName(read)).collect())
+    assert not events.mismatched(made.unionByName(read)).count()
+    parts = sum(max(1, -(-len(v) // (8 * KIB))) if len(v) >= 8 * KIB else 1 for v in objects.values())
+    assert told["input_part_downloaded"] == {"n": parts, "bytes": sum(map(len, objects.values()))}
+    assert told["archive_bytes_written"]["bytes"] == Path(f"{tmp_path}/a.tar").stat().st_size - 1024
+    assert told["extract_object_skipped"]["n"] == len(objects) - 4
+    stores_only = {"archive_bytes_uploaded", "archive_upload_completed", "extract_archive_part_read"}
+    assert set(told) == {*events.CREATE_EVENTS, *events.EXTRACT_EVENTS} - stores_only
+
+
+def test_verify_finds_changed_bytes(spark, archive, tmp_path, monkeypatch):
+    monkeypatch.setattr(api, "_write_in_place", lambda taken, rows, source, store: damaged(api_write(taken, rows, source, store), tmp_path))
+    with pytest.raises(StowageError, match="not those of the archive"):
+        extract_archive(spark, str(archive), f"{tmp_path}/out/", ["large"], SMALL, verify=True)
+
+
+api_write = api._write_in_place
+
+
+def damaged(events_, folder):
+    """The events, once their job has run and a byte of what it wrote was changed."""
+    done = events_.checkpoint()
+    path = folder / "out" / "large"
+    data = bytearray(path.read_bytes())
+    data[20_000] ^= 1
+    path.write_bytes(data)
+    return done
 
 
 def test_damaged_and_missing_archives(spark, archive, tmp_path):

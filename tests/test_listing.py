@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from stowage.functions.selectors import Selector
+from stowage.functions.selectors import Selector, scopes
 from stowage.model import UnsupportedStore
 from stowage.sources.catalog import list_bucket
 from stowage.sources.listing import _Reader
@@ -32,13 +32,23 @@ def test_selectors_narrow_the_listing(spark, root, text, keys):
     assert sorted(r.key for r in list_bucket(spark, str(root), Selector.parse(text)).collect()) == keys
 
 
-def test_prefix_decides_where_the_listing_begins(root):
-    from pyspark.sql.datasource import StringStartsWith
+def test_options_decide_where_the_listing_begins(root):
+    paths = lambda **o: [p.path for p in _Reader({"path": str(root), **o}).partitions()]
+    assert paths(prefix="en/b/c") == [f"{root}/en/b", f"{root}/en/b/d"]
+    assert paths(prefix="en/", direct="true") == [f"{root}/en"]
+    assert paths(key="en/f") == [f"{root}/en/f"]
 
-    reader = _Reader({"path": str(root)})
-    pushed = StringStartsWith(("key",), "en/b/c")
-    assert list(reader.pushFilters([pushed])) == [pushed]
-    assert [p.path for p in reader.partitions()] == [f"{root}/en/b", f"{root}/en/b/d"]
+
+def test_a_single_object_is_looked_up(spark, root):
+    assert [(r.key, r["size"]) for r in list_bucket(spark, str(root), Selector.parse("en/b/c.txt")).collect()] == [("en/b/c.txt", 5)]
+    assert list_bucket(spark, str(root), Selector.parse("en/b")).count() == 0
+
+
+def test_scopes_list_nothing_twice():
+    names = lambda *texts: [(s.kind, s.value) for s in scopes([Selector.parse(t) for t in texts])]
+    assert names("a/b", "a/", "a/**/x", "c/d", "c/") == [("below", "a/"), ("prefix", "c/")]
+    assert names("x*", "xy/z*", "w") == [("below", "x"), ("object", "w")]
+    assert names("q", None) == [("bucket", None)]
 
 
 def test_missing_folder_and_unknown_store(spark, tmp_path):
