@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from oracle import DATA, connection, duck_rows, spark_rows
 
-from stowage.llm import rabitq
+from stowage.llm import common, rabitq
 
 
 def brute(rows, threshold=0.9):
@@ -84,19 +84,50 @@ def test_estimates_are_unbiased_and_bounded():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x[1:100] = 0.9 * x[0] + 0.436 * x[1:100]
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    true, off, errors, beyond = x @ x.T, ~np.eye(200, dtype=bool), [], 0
+    true, off, errors, beyond, every = x @ x.T, ~np.eye(200, dtype=bool), [], 0, np.arange(200)
     for r in range(30):
-        y = x @ rabitq.rotation(128, r).T
-        factors = np.abs(y).sum(axis=1) / np.sqrt(128)
-        margin = rabitq.DEVIATIONS * np.sqrt(1 - factors**2) / factors / np.sqrt(127)
-        error = rabitq.estimate(y > 0, factors, y) - true
-        errors.append(error)
-        beyond += int((np.abs(error) > margin[:, None])[off].sum())
+        codes = rabitq.Codes(rabitq.Codes.encode(x, rabitq.ESTIMATES, rabitq.ESTIMATES * r), 128)
+        about, margin = codes.estimate(every, every)
+        errors.append(about - true)
+        beyond += int((np.abs(about - true) > margin[:, None])[off].sum())
     assert abs(np.mean(errors, axis=0)[off]).mean() < 0.03
     assert abs(np.mean([e[off].mean() for e in errors])) < 0.003
     assert beyond / (30 * off.sum()) < 1e-4
 
 
+def test_bounds_decide_what_is_computed_in_full():
+    """Of pairs far from the threshold hardly any is computed, of links all are."""
+    rng = np.random.default_rng(5)
+    x = np.array([v for _, v in clusters(6, n=60, size=10)]) + 0.0
+    far = rng.standard_normal((1000, 64))
+    x = rabitq.unit(np.concatenate([x, far]))
+    codes = rabitq.Codes(rabitq.Codes.encode(x, rabitq.ESTIMATES), 64)
+    every = np.arange(len(x))
+    got = [np.stack(p) for p in codes.pairs(every, every, True, 0.9)]
+    i, j = np.concatenate(got, axis=1)
+    tested = len(x) * (len(x) - 1) // 2
+    assert len(i) < 0.01 * tested
+    links = np.argwhere(np.triu(x @ x.T >= 0.9, 1))
+    assert {tuple(p) for p in links.tolist()} <= set(zip(i.tolist(), j.tolist(), strict=True))
+
+
+def test_null_ids_and_shared_ids(spark):
+    """Rows without an id whose vector no other row has, and an id with two vectors."""
+    rows = [(None, [1.0, 0.0, 0.0]), (None, [0.99, 0.1, 0.0]), (None, [0.0, 1.0, 0.0]), (4, [0.99, 0.11, 0.0]), (4, [0.0, 0.0, 1.0]), (9, [0.0, 0.05, 1.0])]
+    out = rabitq.near_vectors(table(spark, rows)).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in out) == [(0, 0, 0, True), (0, 2, 4, False), (0, 2, 4, False), (4, 1, 4, True), (4, 2, 4, True), (9, 1, 4, False)]
+
+
+def test_hot_vectors_and_values(spark, monkeypatch):
+    """A third of all rows have one vector, and a third are near it."""
+    monkeypatch.setattr(common, "HOT", 5)
+    monkeypatch.setattr(rabitq, "BLOCK", 16)
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal(64)
+    rows = [(i, (base if i % 3 == 0 else base + 0.1 * rng.standard_normal(64) if i % 3 == 1 else rng.standard_normal(64)).astype(np.float32).tolist()) for i in range(300)]
+    assert result(rabitq.near_vectors(table(spark, rows))) == brute(rows)
+
+
 def test_bands_follow_the_number_of_vectors():
     assert rabitq.bands(10**9, 0.9)[0] > rabitq.bands(10**4, 0.9)[0]
     bits, count = rabitq.bands(10**6, 0.9)
