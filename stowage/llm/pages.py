@@ -6,13 +6,18 @@ and roles of all open elements), its hashed words and a few sizes. A bidirection
 blocks of the whole page in order, so each decision sees the whole document,
 and tells main text from the rest.
 
-The network is plain numpy. It is trained here, from a fixed seed, on pages
+The network is plain numpy, small and of a fixed size. It is trained from a fixed seed on pages
 written by ``sample_page``: site furniture of many kinds around and inside articles under
-many names. It is small, of a fixed size, and sent to all tasks.
+many names. The weights are kept beside this module; ``python -m stowage.llm.pages`` trains them anew.
+
+A page is cut in one pass over its characters, so broken pages of any size take time in proportion:
+a tag without end is text, an element knows the names of all above it from its parent, and open
+elements are found by name.
 
 Edge cases. Null, empty and blank pages have an empty text. Unclosed and
 stray tags, comments, raw text elements and bare ``<`` do no harm. Pages of
-any length are read whole. Extra columns are ignored.
+any length are read whole. Repeated rows, and rows that share a page_id or have none, are labelled each;
+an empty table gives an empty result. Extra columns are ignored, also those with names of the result.
 """
 
 from __future__ import annotations
@@ -22,9 +27,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +42,10 @@ PATH, WORDS, SIZES, UNITS = 320, 32, 4, 20
 #: Of the path's part, what the two innermost elements have for themselves.
 INNER = 64
 #: Pages and passes of training.
-PAGES, PASSES = 1200, 9
+PAGES, PASSES = 2000, 9
+WEIGHTS = Path(__file__).with_name("block_lstm.npz")
+#: Bytes of pages that are labelled together.
+TOGETHER = 4 << 20
 
 #: Elements of HTML, by what they do to the text around them; fixed values of the format.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -51,13 +61,22 @@ ENDS = {
     "th": ({"td", "th", "p"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+#: What can end a tag, or begin a value in which a > doesn't.
+ENDING = re.compile(r"""=\s*(["'])|>""")
 NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: A paragraph ends before a block, but not one around these.
+AROUND = {"div", "article", "main", "section", "body", "li", "td", "blockquote", "aside", "form", "header", "footer", "nav"}
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=\d)")
 
 
 def names(tag: str, attributes: str) -> tuple[str, ...]:
     """The tag and the words of its class, id and role."""
+    return _names(tag, attributes) if len(attributes) < 200 else _names.__wrapped__(tag, attributes)
+
+
+@lru_cache(maxsize=10_000)
+def _names(tag: str, attributes: str) -> tuple[str, ...]:
     out = [tag]
     for _, a, b, c in NAMES.findall(attributes):
         value = re.sub(r"([a-z])([A-Z])", r"\1-\2", a or b or c).lower()
@@ -65,98 +84,169 @@ def names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+class Element:
+    """The hashed names of an open element and of all above it, and the names of the innermost two."""
+
+    __slots__ = ("names", "up", "vector")
+
+    def __init__(self, names: tuple[str, ...], up: Element | None) -> None:
+        self.names, self.up = names, up
+        self.vector = up.vector if up else np.zeros(PATH - INNER, bool)
+        if up and names == up.names:
+            return
+        bits = [zlib.crc32(n.encode()) % (PATH - INNER) for n in names]
+        if not self.vector[bits].all():  # what is the same as above is shared
+            self.vector = self.vector.copy()
+            self.vector[bits] = True
+
+    def path(self) -> np.ndarray:
+        out = np.zeros(PATH, np.float32)
+        out[: PATH - INNER] = self.vector
+        for depth, element in enumerate((self, self.up)):
+            for name in element.names if element else ():
+                out[PATH - INNER + zlib.crc32(f"{depth}{name}".encode()) % INNER] = 1
+        return out
+
+
+TOP = Element((), None)
+
+
 class Block:
-    __slots__ = ("linked", "path", "text")
+    """Text with single spaces, its innermost element, and characters inside links."""
+
+    __slots__ = ("element", "linked", "text")
+
+    def __init__(self, element: Element, text: str, linked: int) -> None:
+        self.element, self.text, self.linked = element, text, linked
+
+
+class Open:
+    """The open elements, with their places by name."""
 
-    def __init__(self, path: tuple, text: str, linked: int) -> None:
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self) -> None:
+        self.all: list[tuple[str, Element]] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks = [-1]
+
+    def push(self, tag: str, element: Element) -> None:
+        self.at.setdefault(tag, []).append(len(self.all))
+        if tag not in INLINE:
+            self.blocks.append(len(self.all))
+        self.all.append((tag, element))
+
+    def cut(self, length: int) -> None:
+        while len(self.all) > length:
+            tag, _ = self.all.pop()
+            self.at[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost of these, or -1."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def close(self, tags: set, until: set) -> None:
+        """Closes the innermost of ``tags`` unless one of ``until`` is inside it."""
+        if (at := self.last(tags)) >= 0 and at > self.last(until):
+            self.cut(at)
+
+    def element(self) -> Element:
+        return self.all[-1][1] if self.all else TOP
+
+
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Place, end, whether it closes, name and attributes of every tag; comments and declarations have no name."""
+    at, last, quoted = 0, page.rfind(">"), True
+    while 0 <= (lt := page.find("<", at)) <= last:
+        if page.startswith("<!--", lt):
+            stop = page.find("-->", lt + 4)
+            at = len(page) if stop < 0 else stop + 3
+            yield lt, at, False, "", ""
+        elif page[lt + 1] in "!?":
+            at = page.find(">", lt) + 1
+            yield lt, at, False, "", ""
+        elif m := TAG.match(page, lt):
+            pos, gt = m.end(), -1
+            while quoted and (e := ENDING.search(page, pos)):
+                if not e[1]:
+                    gt = e.start()
+                    break
+                stop = page.find(e[1], e.end())
+                pos = e.end() if stop < 0 else stop + 1
+            if gt < 0:  # a value without end: from here on, the first > ends a tag
+                quoted, gt = False, page.find(">", m.end())
+            at = gt + 1
+            yield lt, at, bool(m[1]), m[2].lower(), page[m.end() : gt]
+        else:
+            at = lt + 1
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order: path of open elements, text with single spaces, characters inside links."""
+    """The leaf blocks of a page in order."""
     out: list[Block] = []
     if not page:
         return out
-    open_: list[tuple[str, tuple]] = []
-    held: list[str] = []
-    linked = 0
+    open_, held, linked, at, skip = Open(), [], 0, 0, ""
 
     def flush() -> None:
         nonlocal linked
+        if not held:
+            return
         text = " ".join(_html.unescape("".join(held)).split())
         if text:
-            out.append(Block(tuple(n for t, n in open_ if t not in INLINE or len(n) > 1), text, linked))
+            out.append(Block(open_.element(), text, linked))
         held.clear()
         linked = 0
 
-    def close(tags: set, until: set) -> None:
-        for k in range(len(open_) - 1, -1, -1):
-            if open_[k][0] in until:
-                return
-            if open_[k][0] in tags:
-                del open_[k:]
-                return
-
-    at, end = 0, len(page)
-    while at < end:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else end]
-        if text:
-            held.append(text)
-            if any(t == "a" for t, _ in open_):
-                linked += len(text)
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
+    for start, stop, closes, tag, attributes in tags(page):
+        if skip:  # raw text goes on to its own end tag
+            if closes and tag == skip:
+                skip = ""
+            at = stop
+            continue
+        if start > at:
+            held.append(page[at:start])
+            linked += start - at if open_.at.get("a") else 0
+        at = stop
         if not tag:
             continue
-        if m[1]:
+        if closes:
             if tag not in INLINE:
                 flush()
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == tag:
-                    del open_[k:]
-                    break
-                if tag in INLINE and open_[k][0] not in INLINE:
-                    break
+            # an inline element ends inside its block only
+            if (k := open_.last((tag,))) > (open_.blocks[-1] if tag in INLINE else -1):
+                open_.cut(k)
+            continue
+        empty = tag in VOID or attributes.endswith("/")
+        if tag in RAW and not empty and tag not in ("select", "object"):
+            skip = tag
             continue
-        if tag in RAW and not m[3].endswith("/"):
-            if tag not in ("select", "object"):
-                stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else end
-                continue
         if tag == "br":
             held.append(" ")
         elif tag not in INLINE:
             flush()
             if tag in ENDS:
-                close(*ENDS[tag])
+                open_.close(*ENDS[tag])
             elif tag not in VOID:
-                close({"p"}, {"div", "article", "main", "section", "body", "li", "td", "blockquote", "aside", "form", "header", "footer", "nav"})
-        if tag not in VOID and not m[3].endswith("/"):
-            open_.append((tag, names(tag, m[3])))
+                open_.close({"p"}, AROUND)
+        if not empty:
+            own = names(tag, attributes)
+            open_.push(tag, open_.element() if tag in INLINE and len(own) == 1 else Element(own, open_.element()))
+    if not skip:
+        held.append(page[at:])
+        linked += len(page) - at if open_.at.get("a") else 0
     flush()
     return out
 
 
-@lru_cache(maxsize=20_000)
-def path_vector(path: tuple) -> np.ndarray:
-    """Hashed names of all open elements; the innermost ones also with their place."""
-    out = np.zeros(PATH, np.float32)
-    for depth, element in enumerate(reversed(path)):
-        for name in element:
-            out[zlib.crc32(name.encode()) % (PATH - INNER)] = 1
-            if depth < 2:
-                out[PATH - INNER + zlib.crc32(f"{depth}{name}".encode()) % INNER] = 1
-    return out
-
-
 def vectors(page: list[Block]) -> np.ndarray:
     """One row for each block."""
     out = np.zeros((len(page), PATH + WORDS + SIZES), np.float32)
+    element, path = None, None
     for i, b in enumerate(page):
-        out[i, :PATH] = path_vector(b.path)
+        if b.element is not element:
+            element, path = b.element, b.element.path()
+        out[i, :PATH] = path
         words = b.text.lower().split()
         at = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % WORDS
         out[i, PATH : PATH + WORDS] = np.sqrt(np.bincount(at, minlength=WORDS) / len(words))
@@ -185,12 +275,15 @@ class Labeller:
         self.p["o"] = (rng.standard_normal(2 * u) / np.sqrt(2 * u)).astype(np.float32)
         self.p["s"] = np.zeros(1, np.float32)
 
-    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """x: page, step, part. Hidden states by step, and what the way back needs."""
-        b, t, _ = x.shape
+    def into(self, x: np.ndarray, d: str) -> np.ndarray:
+        """What the blocks give to the gates."""
+        return x @ self.p["w" + d] + self.p["c" + d]
+
+    def _pass(self, into: np.ndarray, mask: np.ndarray, d: str, keep: bool = False) -> tuple[np.ndarray, list]:
+        """Hidden states by page and step, and what the way back needs."""
+        b, t, _ = into.shape
         u = UNITS
         h, c = np.zeros((b, u), np.float32), np.zeros((b, u), np.float32)
-        into = x @ self.p["w" + d] + self.p["c" + d]
         out, kept = np.zeros((b, t, u), np.float32), []
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
             z = into[:, k] + h @ self.p["r" + d]
@@ -199,19 +292,23 @@ class Labeller:
             m = mask[:, k : k + 1]
             c2 = f * c + i * g
             tc = np.tanh(c2)
-            kept.append((k, i, f, o, g, c, h, tc))
+            if keep:
+                kept.append((k, i, f, o, g, c, h, tc))
             c, h = np.where(m, c2, c), np.where(m, o * tc, h)
             out[:, k] = h
         return out, kept
 
     def forward(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Probabilities of main text, by page and step."""
-        h = np.concatenate([self._pass(x, mask, d)[0] for d in "fb"], axis=2)
+        return self.chances({d: self.into(x, d) for d in "fb"}, mask)
+
+    def chances(self, into: dict[str, np.ndarray], mask: np.ndarray) -> np.ndarray:
+        h = np.concatenate([self._pass(into[d], mask, d)[0] for d in "fb"], axis=2)
         return sigmoid(h @ self.p["o"] + self.p["s"])
 
     def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         u = UNITS
-        runs = {d: self._pass(x, mask, d) for d in "fb"}
+        runs = {d: self._pass(self.into(x, d), mask, d, keep=True) for d in "fb"}
         h = np.concatenate([runs[d][0] for d in "fb"], axis=2)
         delta = (sigmoid(h @ self.p["o"] + self.p["s"]) - y) * mask / mask.sum()
         g = {"o": np.einsum("bt,btu->u", delta, h), "s": np.array([delta.sum()])}
@@ -234,6 +331,18 @@ class Labeller:
             g["c" + d] = dz_all.sum(axis=(0, 1))
         return g
 
+    def projected(self, pages: list[list[Block]]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """What the blocks of pages give to the gates of both directions, and which steps are there."""
+        t = max(map(len, pages))
+        out, mask = {d: np.zeros((len(pages), t, 4 * UNITS), np.float32) for d in "fb"}, np.zeros((len(pages), t), bool)
+        for i, page in enumerate(pages):
+            mask[i, : len(page)] = True
+            for lo in range(0, len(page), 1024):
+                x = vectors(page[lo : lo + 1024])
+                for d in "fb":
+                    out[d][i, lo : lo + len(x)] = self.into(x, d)
+        return out, mask
+
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """For each page, which of its blocks are main text."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
@@ -243,8 +352,8 @@ class Labeller:
             # pages of like length go together, so many that the padded cells stay few
             size = max(1, min(64, 4096 // len(pages[order[min(at + 63, len(order) - 1)]])))
             part = order[at : at + size]
-            x, mask = padded([vectors(pages[i]) for i in part])
-            p = self.forward(x, mask)
+            # a long page's vectors never stand there all at once
+            p = self.chances(*self.projected([pages[i] for i in part]))
             for k, i in enumerate(part):
                 out[i] = p[k, : len(pages[i])] >= 0.5
             at += size
@@ -295,8 +404,12 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[str]]:
     def suffixed(name: str) -> str:
         return f"{name}-{pick(SUFFIXES)}" if rng.random() < 0.25 else name
 
+    def invented() -> str:
+        """A name that tells nothing, as every site has its own."""
+        return "-".join("".join(rng.choice(letters[:16], rng.integers(2, 9))) for _ in range(int(rng.integers(1, 4))))
+
     def named() -> str:
-        return f' class="{pick(NEUTRAL)}"' if rng.random() < 0.15 else ""
+        return f' class="{pick(NEUTRAL) if rng.random() < 0.5 else invented()}"' if rng.random() < 0.2 else ""
 
     main: list[str] = []
     length = lambda: (1, 9) if rng.random() < 0.25 else (8, 90)
@@ -308,6 +421,8 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[str]]:
     def furniture(kinds: tuple[str, ...] = tuple(FURNITURE)) -> str:
         kind = pick(kinds)
         own = suffixed(pick(FURNITURE[kind]))
+        if rng.random() < 0.2:
+            own = f"{own}-{invented()}" if rng.random() < 0.5 else f"{invented()}-{own}"
         attr = f'{pick(["class", "class", "id"])}="{own}{pick(["", " " + pick(["box", "wrap", "clearfix", "block"])])}"' if rng.random() < 0.8 else ""
         tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind)
         if tag is None or (attr and rng.random() < 0.4):
@@ -343,21 +458,27 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[str]]:
             elif how < 0.72:
                 out.append(f"<h{(k := int(rng.integers(2, 5)))}>{put(words(1, 9))}</h{k}>")
             elif how < 0.79:
-                out.append("<ul>" + "".join(f"<li>{put(words(1, 20))}</li>" for _ in range(int(rng.integers(1, 6)))) + "</ul>")
+                kind = pick(["ul", "ul", "ol"])
+                out.append(f"<{kind}{named()}>" + "".join(f"<li>{put(words(1, 30))}</li>" for _ in range(int(rng.integers(1, 7)))) + f"</{kind}>")
             elif how < 0.83:
                 out.append(f"<blockquote><p>{put(words(4, 40))}</p></blockquote>")
             elif how < 0.86:
-                out.append("<table>" + "".join("<tr>" + "".join(f"<td>{put(words(1, 6))}</td>" for _ in range(3)) + "</tr>" for _ in range(2)) + "</table>")
+                cell = lambda tag: f"<{tag}>{put(words(1, 6))}</{tag}>"
+                columns, lines = int(rng.integers(2, 5)), int(rng.integers(2, 6))
+                out.append(f"<table{named()}>" + "".join("<tr>" + "".join(cell("th" if k == 0 and lines > 2 else "td") for _ in range(columns)) + "</tr>" for k in range(lines)) + "</table>")
             elif how < 0.89:
                 out.append(f"<pre>{put(words(3, 30))}</pre>" if rng.random() < 0.5 else f"<figure><img src=a><figcaption>{put(words(2, 12))}</figcaption></figure>")
-            elif how < 0.90:
-                out.append(f"<div{named()}>{put(words(*length()))}</div>")
+            elif how < 0.92:
+                text = put(words(*length()))
+                out.append(f"<div{named()}>{text}</div>" if rng.random() < 0.5 else f"{text}<br><br>" if out and not out[-1].endswith("<br>") and out[-1].endswith(">") and "<p" not in out[-1] else f"<p>{text}</p>")
             else:
                 out.append(furniture(INSIDE))
         return "".join(out)
 
     def named_main() -> str:
-        return f' {pick(["class", "class", "id"])}="{suffixed(pick(MAIN))}"'
+        how = rng.random()
+        own = suffixed(pick(MAIN)) if how < 0.6 else invented() if how < 0.75 else f"{invented()}-{pick(MAIN)}" if how < 0.9 else f"{invented()} {pick(MAIN)}"
+        return f' {pick(["class", "class", "id"])}="{own}"'
 
     middle = article()
     for depth in range(int(pick([0, 1, 1, 1, 2, 2, 3]))):  # containers, innermost first
@@ -374,7 +495,6 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[str]]:
     return f"<html><head><title>{words(1, 8)}</title></head><body>{before}{middle}{after}</body></html>", main
 
 
-@lru_cache(maxsize=1)
 def trained(pages: int = PAGES, passes: int = PASSES, seed: int = 11) -> Labeller:
     """The labeller, fitted to generated pages by Adam."""
     rng = np.random.default_rng(seed)
@@ -408,17 +528,29 @@ def trained(pages: int = PAGES, passes: int = PASSES, seed: int = 11) -> Labelle
     return net
 
 
+@lru_cache(maxsize=1)
+def kept() -> Labeller:
+    """The labeller with the weights beside this module."""
+    net = Labeller()
+    with np.load(WEIGHTS) as file:
+        net.p = {name: file[name].astype(np.float32) for name in net.p}
+    return net
+
+
 def main_text(pages: DataFrame, net: Labeller | None = None) -> DataFrame:
     """``page_id, url, text, n_chars, n_blocks, n_main_blocks`` for every page; main blocks are joined by an empty line."""
     spark = pages.sparkSession
     prepare(spark)
-    sent = spark.sparkContext.broadcast(net or trained())  # of a fixed size
+    sent = spark.sparkContext.broadcast(net or kept())  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Labeller = sent.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:  # so many pages at a time as have some megabytes
+                stop = max(at + 1, min(at + 256, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOGETHER, "right"))))
+                part = batch.slice(at, stop - at)
                 cut_ = [blocks(h.as_py()) for h in part.column(2)]
                 chosen = own.label(cut_)
                 texts = ["\n\n".join(b.text for b, yes in zip(p, y, strict=True) if yes) for p, y in zip(cut_, chosen, strict=True)]
@@ -426,6 +558,7 @@ def main_text(pages: DataFrame, net: Labeller | None = None) -> DataFrame:
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(p) for p in cut_], pa.int64()), pa.array([int(y.sum()) for y in chosen], pa.int64())],
                     names=["page_id", "url", "text", "n_chars", "n_blocks", "n_main_blocks"],
                 )
+                at = stop
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_blocks long, n_main_blocks long")
@@ -434,3 +567,7 @@ def main_text(pages: DataFrame, net: Labeller | None = None) -> DataFrame:
 def op2_block_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return main_text(table(spark, sf_dir, "pages"))
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **{name: p.astype(np.float16) for name, p in trained().p.items()})
