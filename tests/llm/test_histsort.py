@@ -51,6 +51,15 @@ def test_one_text_holds_most_rows(documents):
     check(rows, histsort.assign(documents(rows)).collect())
 
 
+def test_rows_that_share_text_and_id_are_cut(documents):
+    """A third of all rows have one text and no id: only their stored numbers tell them apart."""
+    out = histsort.assign(documents([(None, "the same text")] * 400 + [(i, f"other text {i}") for i in range(800)]), shards=4).collect()
+    total = [sum(r["size"] for r in out if r.shard == s) for s in range(4)]
+    assert max(total) - min(total) <= 0.004 * sum(total) / 4 + 40
+    for s in range(4):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+
+
 def test_equal_texts_are_neighbours(documents):
     rows = [(i, f"text {i % 300}") for i in range(1200)]
     out = histsort.assign(documents(rows)).collect()
