@@ -32,7 +32,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: A space after white space or at the start: pieces then depend on what is before the space.
 WIDE = re.compile(r"(?:\s|\A) ").search
 #: Pieces (and as many words) that a worker remembers, and the longest one it does.
-REMEMBERED, LONGEST, LIMIT = 250_000, 64, 512
+REMEMBERED, LONGEST, LIMIT = 600_000, 64, 512
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -44,17 +44,24 @@ def byte_names() -> list[str]:
 
 
 class Remembered(dict):
-    """The values of a function of strings, worked out once for those that are not long, in bounded memory."""
+    """The values of a function of strings, worked out once for those that are not long, in bounded memory.
+
+    When it is full, it becomes the older of two halves; what is asked for again comes back from there.
+    """
 
     def __init__(self, work: Callable[[str], int]) -> None:
-        self.work = work
+        self.work, self.older = work, {}
 
     def __missing__(self, key: str) -> int:
-        n = self.work(key)
-        if len(key) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[key] = n
+        n = self.older.get(key)
+        if n is None:
+            n = self.work(key)
+            if len(key) > LONGEST:
+                return n
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[key] = n
         return n
 
 
@@ -68,44 +75,54 @@ class Counter:
             raise ValueError("only byte-level BPE files without normalizer and prefix space are known")
         names = byte_names()
         number: dict[str, int] = {c: i for i, c in enumerate(names)}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, merge in enumerate(spec["model"]["merges"]):
-            a, b = merge.split(" ") if isinstance(merge, str) else merge
-            made = number.setdefault(a + b, len(number))
-            self.merges[number.setdefault(a, len(number)), number.setdefault(b, len(number))] = (rank, made)
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        for a, b in pairs:
+            for symbol in (a, b, a + b):
+                number.setdefault(symbol, len(number))
+        #: Ranks by pair, as one number, and the symbol that each rank makes.
+        self.size = len(number)
+        self.ranks = {number[a] * self.size + number[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [number[a + b] for a, b in pairs]
         special = sorted((t["content"] for t in spec.get("added_tokens") or []), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.find = regex.compile(PIECES).findall
-        self.pieces = Remembered(self.piece)
-        self.words = Remembered(lambda word: sum(map(self.pieces.__getitem__, self.find(" " + word))))
+        #: Counts of pieces, and of words after a space.
+        self.pieces, self.words = Remembered(self.piece), Remembered(self.word)
+
+    def word(self, word: str) -> int:
+        """Tokens of a word with the space before it."""
+        if word.isalpha() and max(word) < "\u0250":  # letters of which all that know Unicode say so: one piece
+            return self.piece(" " + word)
+        own = self.find(" " + word)
+        if len(own) == 1:
+            return self.piece(own[0])
+        return sum(self.words[p[1:]] if p[0] == " " and len(p) > 1 else self.pieces[p] for p in own)
 
     def piece(self, text: str) -> int:
         """Tokens of one piece."""
         symbols = list(text.encode())
-        n = len(symbols)
-        if n < 2:
-            return n
-        merges = self.merges
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(*m, i) for i in range(n - 1) if (m := merges.get((symbols[i], symbols[i + 1])))]
+        n, size, rank, made = len(symbols), self.size, self.ranks.get, self.made
+        # a heap entry is a rank and a place in one number
+        heap = [r * n + i for i in range(n - 1) if (r := rank(symbols[i] * size + symbols[i + 1])) is not None]
         heapq.heapify(heap)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         done = 0
         while heap:
-            _, made, i = heapq.heappop(heap)
+            r, i = divmod(heapq.heappop(heap), n)
             j = after[i]
-            # a pair that has changed since it was pushed is stale
-            if symbols[i] < 0 or j < 0 or (m := merges.get((symbols[i], symbols[j]))) is None or m[1] != made:
+            # a pair that has changed since it was pushed has another rank, or none
+            if j >= n or rank(symbols[i] * size + symbols[j]) != r:
                 continue
-            symbols[i], symbols[j] = made, -1
-            k = after[i] = after[j]
+            symbols[i], symbols[j] = made[r], -1
             done += 1
-            if k >= 0:
+            k = after[i] = after[j]
+            if k < n:
                 before[k] = i
-                if m := merges.get((made, symbols[k])):
-                    heapq.heappush(heap, (*m, i))
+                if (s := rank(symbols[i] * size + symbols[k])) is not None:
+                    heapq.heappush(heap, s * n + i)
             h = before[i]
-            if h >= 0 and (m := merges.get((symbols[h], made))):
-                heapq.heappush(heap, (*m, h))
+            if h >= 0 and (s := rank(symbols[h] * size + symbols[i])) is not None:
+                heapq.heappush(heap, s * n + h)
         return n - done
 
     def text(self, text: str | None) -> int:
