@@ -63,6 +63,12 @@ def sieve(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.withColumn("_mark", mark).join(F.broadcast(right.select(mark).distinct()), "_mark", "left_semi").drop("_mark")
 
 
+def small(df: DataFrame, rows: int = MARKS) -> DataFrame:
+    """The same rows, computed once, to be broadcast in a join if they are no more than ``rows``; else the join shuffles."""
+    done = cut(df)
+    return F.broadcast(done) if done.limit(rows + 1).count() <= rows else done
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str, by: str, total: int, on: list[str] | None = None) -> DataFrame:
     """Inner join on ``key`` (and ``on``) that deals the left rows of hot keys to ``SALTS`` buckets each.
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join, sieve, table
+from .common import MARKS, cut, hot_join, sieve, table
 
 #: The rolling hash is taken modulo a prime.
 PRIME = 1_048_573
@@ -75,7 +75,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     ``text`` is what is left, and ``n_chars``, where there is one, its length.
     """
-    gone = repeats(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("chunk", "h")).alias("_gone"))
+    found = cut(repeats(docs))
+    gone = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("chunk", "h")).alias("_gone"))
+    if found.limit(MARKS + 1).count() <= MARKS:  # each is some bytes: the table has a bound and texts need not move
+        gone = F.broadcast(gone)
     rows = docs.withColumn("text", F.col("text").cast("string")).join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left")
     # the hash tells rows that share an id apart
     stays = "filter(cs, (c, k) -> not array_contains(_gone, named_struct('chunk', k, 'h', xxhash64(array_join(c, '\n')))))"

@@ -28,7 +28,7 @@ from .words import distinct, shingle_sets
 
 WIDTH = 5
 #: Members of a block; bytes of shingle hashes of a block.
-BLOCK, CELL_BYTES = 4096, 8 << 20
+BLOCK, CELL_BYTES = 512, 8 << 20
 
 
 def stars(pairs: DataFrame, payload: DataFrame, fn: Callable, kind: str) -> DataFrame:
