@@ -81,11 +81,11 @@ BY_KEY = (
 
 
 def mismatched(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """``key, left, right, left_bytes, right_bytes``: objects whose bytes differ between two events that should agree, or that lack one."""
+    """``key, left_event, right_event, left_bytes, right_bytes``: objects whose bytes differ between two events that should agree, or that lack one."""
     keys = keys or ["key"]
     names = sorted({e for pair in BY_KEY for e in pair})
     sums = events.where(F.col("event").isin(*names)).groupBy(*keys).agg(*(F.sum(F.when(F.col("event") == e, F.col("bytes"))).alias(e) for e in names))
-    pairs = F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).cast("long").alias("left_bytes"), F.col(b).cast("long").alias("right_bytes")) for a, b in BY_KEY))
+    pairs = F.array(*(F.struct(F.lit(a).alias("left_event"), F.lit(b).alias("right_event"), F.col(a).cast("long").alias("left_bytes"), F.col(b).cast("long").alias("right_bytes")) for a, b in BY_KEY))
     return sums.select(*keys, F.inline(pairs)).where(~F.col("left_bytes").eqNullSafe(F.col("right_bytes")))
 
 

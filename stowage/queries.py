@@ -6,6 +6,7 @@ are cut are scaled to them: 8 KiB instead of 8 MiB.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,10 @@ from stowage.functions.urls import url_columns
 from stowage.operators import events as log
 from stowage.operators import extract, parts, verify
 from stowage.plans import create, index
+from stowage.plans.scale import checkpoint_dir
 from stowage.sources.catalog import with_versions
 from stowage.sources.tables import bucket, byte_length, catalog, document_key, line_items, table, versions
+from stowage.sources.tar import register
 
 CHUNK = THRESHOLD = 8192
 
@@ -272,20 +275,30 @@ def read_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("key", "n_parts", "n_bytes", verify.checksum(F.array_join("parts.sha256", "")).alias("sha256"))
 
 
-@query(f"WITH {ALL}, {PARTS} SELECT bucket, key, version_id, count(*) AS n_parts, 0::BIGINT AS n_gaps, min(range_start) = 0 AS starts_at_zero, max(range_end) = max(object_size) AS ends_at_size, sum(range_end - range_start) = max(object_size) AS contiguous FROM parts GROUP BY ALL")
+#: Parts that a damaged transfer has done.
+DONE = "done AS (SELECT * FROM parts WHERE (object_size + part_number) % 7 <> 0)"
+
+
+def done_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return object_parts(spark, sf_dir).where((F.col("object_size") + F.col("part_number")) % 7 != 0)
+
+
+@query(
+    f"WITH {ALL}, {PARTS}, {DONE}, g AS (SELECT *, coalesce(lag(range_end) OVER w <> range_start OR lag(part_number) OVER w + 1 <> part_number, false) AS gap FROM done WINDOW w AS (PARTITION BY bucket, key, version_id ORDER BY part_number)) "
+    "SELECT bucket, key, version_id, count(*) AS n_parts, count(*) FILTER (gap) AS n_gaps, min(range_start) = 0 AS starts_at_zero, max(range_end) = max(object_size) AS ends_at_size, count(*) FILTER (gap) = 0 AND min(range_start) = 0 AND max(range_end) = max(object_size) AS contiguous FROM g GROUP BY bucket, key, version_id"
+)
 def parts_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the parts of every object follow each other from its start to its end."""
-    return parts.contiguity(object_parts(spark, sf_dir))
+    """Whether the parts of every object follow each other from its start to its end; here some are not there."""
+    return parts.contiguity(done_parts(spark, sf_dir))
 
 
 @query(
-    f"WITH {ALL}, {PARTS}, done AS (SELECT * FROM parts WHERE (object_size + part_number) % 7 <> 0) "
+    f"WITH {ALL}, {PARTS}, {DONE} "
     "SELECT p.bucket, p.key, p.version_id, count(*) AS n_expected, count(d.part_number) AS n_done, count(*) = count(d.part_number) AS complete FROM parts p LEFT JOIN done d ON p.bucket = d.bucket AND p.key = d.key AND p.part_number = d.part_number GROUP BY ALL"
 )
 def parts_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects of which all planned parts are done; here some are not."""
-    planned = object_parts(spark, sf_dir)
-    return parts.completeness(planned.where((F.col("object_size") + F.col("part_number")) % 7 != 0), planned)
+    return parts.completeness(done_parts(spark, sf_dir), object_parts(spark, sf_dir))
 
 
 @query(f"WITH {ALL}, {PARTS} SELECT *, part_number = 0 AS is_first, range_end = object_size AS is_last FROM parts")
@@ -340,10 +353,15 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark, sf_dir).select("key", "size")
 
 
-@query(f"WITH {ALL}, {LAYOUT} SELECT key, size, header_offset + header_len AS data_offset FROM placed")
+@query(f"WITH objects AS ({DOCUMENTS}), {LAYOUT} SELECT key, size, header_offset, header_offset + header_len AS data_offset FROM placed")
 def entry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries and where their data stands."""
-    return archive_index(spark, sf_dir).select("key", "size", "data_offset")
+    """Entries and where their data stands, from the headers of an archive of all documents that is written first."""
+    register(spark)
+    path = f"{checkpoint_dir(spark)}/entry-scan-{uuid.uuid4().hex}.tar"
+    data = table(spark, sf_dir, "documents").select(document_key().alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    placed = index.archive_index(bucket(spark, sf_dir, "documents")).select("key", "size", "header_offset", "data_offset", F.lit(0).cast("long").alias("range_start"), F.col("size").alias("range_end"))
+    placed.join(data, "key").select("key", "size", "header_offset", "data_offset", "range_start", "range_end", "data").write.format("stowage-tar-writer").mode("append").save(path)
+    return spark.read.format("stowage-tar").load(path).select("key", "size", "header_offset", "data_offset")
 
 
 FILTERS = ("7.html", "en/", "click/**/1*.json", "O/[12]-*/*5")
@@ -458,26 +476,33 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Events
 
 
+#: Kinds of events of which a damaged log has lost some.
+LOST = ("input_part_downloaded", "object_part_uploaded", "object_uploaded")
+
+
 def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log of an archive's creation and of its extraction with all filters."""
+    """The log of an archive's creation and of its extraction with all filters, without events that were lost."""
     objects = catalog(spark, sf_dir)
     made = log.create_log(index.entry_columns(objects), parts.object_parts(objects, THRESHOLD, CHUNK))
     read = taken(spark, sf_dir, *FILTERS)
     pieces = extract.components(read.where("included"), THRESHOLD, CHUNK).where("component in ('small', 'part')").withColumn("part_number", F.greatest(F.col("seq") - 1, F.lit(0)))
-    return made.select("event", "key", "part_number", "bytes").unionByName(log.extract_log(read, pieces))
+    whole = made.select("event", "key", "part_number", "bytes").unionByName(log.extract_log(read, pieces))
+    return whole.where(~(F.col("event").isin(*LOST) & (F.col("bytes") % 10 == 7)))
 
 
 JOB = f"""{ALL}, {LAYOUT}, {PARTS}, own AS (
   SELECT *, {ANY_SQL} AS included FROM placed
 ), pieces AS (
   SELECT key, part_number, range_end - range_start AS n FROM parts
-), events_ AS (
+), whole AS (
   SELECT unnest(['input_object_download_started', 'input_object_download_completed', 'archive_object_written']) AS event, key, NULL::INT AS part_number, size AS bytes FROM placed
   UNION ALL SELECT 'archive_bytes_written', key, NULL, entry_len FROM placed
   UNION ALL SELECT unnest(['input_part_unordered_downloaded', 'input_part_downloaded', 'archive_part_written']), key, part_number, n FROM pieces
   UNION ALL SELECT unnest(['extract_object_starting', 'extract_object_finished', 'object_upload_starting', 'object_uploaded']), key, NULL, size FROM own WHERE included
   UNION ALL SELECT 'extract_object_skipped', key, NULL, size FROM own WHERE NOT included
   UNION ALL SELECT unnest(['extract_object_part_read', 'object_part_uploaded']), key, part_number, n FROM pieces WHERE {ANY_SQL}
+), events_ AS (
+  SELECT * FROM whole WHERE NOT (event IN {LOST} AND bytes % 10 = 7)
 )"""
 
 
@@ -487,10 +512,21 @@ def event_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.summary(job_log(spark, sf_dir))
 
 
-@query("SELECT event_type AS event, count(*) AS n FROM events WHERE event_type IN ('signup', 'error') GROUP BY event_type HAVING count(*) > 1")
+@query(f"SELECT e AS event, count(*) AS n FROM (SELECT unnest({list(log.ONCE)}) AS e, unnest(range({len(log.ONCE)})) AS i) JOIN region ON r_regionkey < i % 3 GROUP BY e HAVING count(*) > 1")
 def event_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events that should be there once at most, but are more often."""
-    return log.repeated(table(spark, sf_dir, "events").withColumnRenamed("event_type", "event"), ("signup", "error"))
+    """Events that a job has once at most, but its log has more often; here each is there never, once or twice."""
+    each = F.explode(F.array(*(F.struct(F.lit(e).alias("event"), F.lit(i % 3).alias("times")) for i, e in enumerate(log.ONCE))))
+    return log.repeated(table(spark, sf_dir, "region").select("r_regionkey", each.alias("e")).where("r_regionkey < e.times").select("e.event"))
+
+
+@query(
+    f"""WITH {JOB}, s AS (SELECT key, event, sum(bytes)::BIGINT AS b FROM events_ GROUP BY ALL), k AS (SELECT DISTINCT key FROM s),
+j AS (SELECT unnest({[a for a, _ in log.BY_KEY]}) AS a, unnest({[b for _, b in log.BY_KEY]}) AS b)
+SELECT k.key, j.a AS left_event, j.b AS right_event, x.b AS left_bytes, y.b AS right_bytes FROM k CROSS JOIN j LEFT JOIN s x ON x.key = k.key AND x.event = j.a LEFT JOIN s y ON y.key = k.key AND y.event = j.b WHERE x.b IS DISTINCT FROM y.b"""
+)
+def event_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects whose events do not agree with each other."""
+    return log.mismatched(job_log(spark, sf_dir))
 
 
 @query(f"WITH {JOB} SELECT count(*) AS n_objects, coalesce(sum(bytes), 0)::BIGINT AS n_bytes FROM events_ WHERE event = 'object_uploaded'")
@@ -513,5 +549,5 @@ def upload_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     "FROM j LEFT JOIN s x ON x.event = j.a LEFT JOIN s y ON y.event = j.b"
 )
 def event_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What holds in the log of every successful job."""
+    """What holds in the log of every successful job; in this one some of it doesn't."""
     return log.reconcile(job_log(spark, sf_dir))

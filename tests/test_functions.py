@@ -13,7 +13,7 @@ from stowage.functions.sizes import format_size, parse_size
 from stowage.functions.urls import parse_location
 from stowage.model import Config, InvalidFilter, InvalidGlob, InvalidUrl, UnsupportedStore
 
-TREE = ["test", "prefix1/test", "prefix2/test", "prefix3/test", "prefix3/prefix4/test"]
+TREE = ["readme", "ships/log.csv", "ships/tugs/log.csv", "ships/tugs/old/log.csv", "ports/list", "shipsize"]
 NAMES = ["foo/test1.txt", "foo/test2.bin", "bar/test11.bin", "bar/test14.txt", "bar/deep/test15.txt", "a[b", "a]b", "ab", "ac", "a/c", "what?", "sp ace/ü.txt"]
 
 
@@ -26,13 +26,13 @@ def matched(spark, predicate, keys=TREE):
     [
         (None, "bucket", TREE),
         ("", "bucket", TREE),
-        ("test", "object", ["test"]),
-        ("prefix1/test", "object", ["prefix1/test"]),
-        ("prefix3/", "prefix", ["prefix3/test"]),
+        ("readme", "object", ["readme"]),
+        ("ships/tugs/log.csv", "object", ["ships/tugs/log.csv"]),
+        ("ships/", "prefix", ["ships/log.csv"]),
         ("**", "glob", TREE),
-        ("prefix3/**", "glob", ["prefix3/test", "prefix3/prefix4/test"]),
-        ("prefix3/*", "glob", ["prefix3/test"]),
-        ("nothing", "object", []),
+        ("ships/**", "glob", ["ships/log.csv", "ships/tugs/log.csv", "ships/tugs/old/log.csv"]),
+        ("ships/*/log.*", "glob", ["ships/tugs/log.csv"]),
+        ("ships", "object", []),
     ],
 )
 def test_selectors(spark, text, kind, keys):

@@ -27,3 +27,12 @@ def test_queries_have_rows(spark):
     """No comparison is with an empty table, but for those that select what the smallest tables lack."""
     for name in ("select_prefix", "select_object", "select_glob_star", "select_glob_recursive", "select_glob_class", "select_glob_question", "filter_glob", "filter_exact", "upload_parts"):
         assert QUERIES[name](spark, DATA).count(), name
+
+
+def test_damage_is_seen(spark):
+    """Checks have both outcomes on the damaged parts and logs."""
+    assert {r.contiguous for r in QUERIES["parts_contiguity"](spark, DATA).collect()} == {True, False}
+    assert {r.complete for r in QUERIES["parts_complete"](spark, DATA).collect()} == {True, False}
+    assert {r.holds for r in QUERIES["event_reconcile"](spark, DATA).collect()} == {True, False}
+    assert QUERIES["event_mismatches"](spark, DATA).count()
+    assert QUERIES["event_uniqueness"](spark, DATA).count()
