@@ -143,7 +143,11 @@ class Open:
 
     def last(self, tags) -> int:
         """The place of the innermost of these, or -1."""
-        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+        best, at = -1, self.at
+        for t in tags:
+            if (own := at.get(t)) and own[-1] > best:
+                best = own[-1]
+        return best
 
     def close(self, tags: set, until: set) -> None:
         """Closes the innermost of ``tags`` unless one of ``until`` is inside it."""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
+from hand_pages import PAGES, labelled
 
 from stowage.llm import pages
 
@@ -13,7 +16,7 @@ LONG = "The harbour was quiet that morning, and nobody spoke of the storm that h
 
 @pytest.fixture(scope="module")
 def net():
-    return pages.trained()
+    return pages.kept()
 
 
 def texts(spark, net, rows):
@@ -40,6 +43,70 @@ def test_generated_pages_that_were_not_trained_on(net):
     assert right / total > 0.97
 
 
+def test_pages_labelled_by_hand(net):
+    """Characters of main text in pages that nothing here was generated or trained from."""
+    truth = got = both = 0
+    for page, main in map(labelled, PAGES.values()):
+        own = pages.blocks(page)
+        chosen = [b.text for b, yes in zip(own, net.label([own])[0], strict=True) if yes]
+        main = [pages.blocks(f"<p>{t}")[0].text for t in main]
+        assert set(main) <= {b.text for b in own}
+        truth, got = truth + sum(map(len, main)), got + sum(map(len, chosen))
+        both += sum(len(t) for t in chosen if t in main)
+    assert both / got > 0.95
+    assert both / truth > 0.92
+
+
+def test_articles_of_the_pages_table(spark, net):
+    """Its pages have one article element each; the labeller does not know that."""
+    rows = [(r.page_id, r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    same = 0
+    for _, page in rows:
+        inside = page[page.find("<article>") : page.find("</article>")] if "<article>" in page else ""
+        own = pages.blocks(page)
+        same += [b.text for b, yes in zip(own, net.label([own])[0], strict=True) if yes] == [b.text for b in pages.blocks(inside)]
+    assert same / len(rows) > 0.99
+
+
+MEGABYTE = {
+    "tags without end": "<a " * 350_000,
+    "nested elements": "<div>" * 200_000,
+    "unclosed inline elements": "<b class=x>" * 90_000,
+    "open value": '<a x=">" ' * 115_000,
+    "stray end tags": "<div>" * 1000 + "</i>" * 200_000,
+    "items under many elements": "<ul>" + "<div>" * 5000 + "<li>" * 200_000,
+    "one inline element above": "<i><div>" + "<b></i>" * 140_000,
+    "bare signs": "<" * 1_000_000,
+    "comments without end": "<!-- " * 200_000,
+    "declarations": "<! " * 330_000,
+    "raw text without end": "<script>" * 125_000,
+}
+
+
+@pytest.mark.parametrize("name", MEGABYTE)
+def test_broken_pages_take_time_in_proportion(name):
+    """A megabyte of anything takes seconds, and twice as much takes twice as long."""
+    page = MEGABYTE[name]
+    began = time.process_time()
+    pages.blocks(page[: len(page) // 2])
+    half = time.process_time() - began
+    pages.blocks(page)
+    whole = time.process_time() - began - half
+    assert whole < 12
+    assert whole < 4 * half + 0.5
+
+
+def test_memory_of_a_page_with_very_many_blocks(net):
+    """Blocks are turned into vectors a thousand at a time."""
+    own = pages.blocks("<article>" + "<p>Some words, and a few more.</p>" * 20_000)
+    assert len(own) == 20_000
+    assert net.label([own])[0].mean() > 0.99
+
+
+def test_values_may_hold_signs():
+    assert [b.text for b in pages.blocks("<p title='a > b'>x<p data-x=\"</p>\">y <a title=it's>z's</a>")] == ["x", "y z's"]
+
+
 def test_article_among_furniture(spark, net):
     page = f"""<!DOCTYPE html><html><head><title>News</title><style>p{{x:y}}</style><script>var a = "<p>no</p>";</script></head><body>
     <header class="site-header"><a href="/">Daily</a></header><nav><ul><li><a href="/a">Home</a><li><a href="/b">World</a></ul></nav>
