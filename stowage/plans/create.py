@@ -6,7 +6,6 @@ from functools import reduce
 from operator import or_
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stowage.functions.selectors import Selector
@@ -32,12 +31,6 @@ def dedupe(objects: DataFrame) -> DataFrame:
     return objects.groupBy(*IDENTITY).agg(rest).select(*(c if c in IDENTITY else F.col(f"first.{c}").alias(c) for c in objects.columns))
 
 
-def dedupe_by_window(objects: DataFrame) -> DataFrame:
-    """As ``dedupe``, for tables with columns that cannot be compared."""
-    w = W.partitionBy(*IDENTITY).orderBy(*ARCHIVE_ORDER)
-    return objects.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-
 def match_counts(objects: DataFrame, selectors: list[Selector]) -> DataFrame:
     """``ordinal, kind, value, n_objects, n_bytes`` for every input, also those that match nothing; one pass over the objects."""
     counts = [F.count_if(s.predicate()).alias(f"n{i}") for i, s in enumerate(selectors)]

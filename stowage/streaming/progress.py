@@ -12,29 +12,37 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OUT = "key string, n_parts long, uploaded long, size long, done boolean"
 
 
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    parts, uploaded, size = state.get if state.exists else (0, 0, None)
-    for f in frames:
-        own = f[f["event"] == "object_part_uploaded"]
-        parts += len(own)
-        uploaded += int(own["bytes"].sum())
-        start = f.loc[f["event"] == "object_upload_starting", "bytes"]
-        size = int(start.iloc[0]) if len(start) else size
-    done = size is not None and uploaded >= size
-    if done:
-        state.remove()
-    else:
-        state.update((parts, uploaded, size))
-    yield pd.DataFrame({"key": [key[0]], "n_parts": [parts], "uploaded": [uploaded], "size": pd.array([size], dtype="Int64"), "done": [done]})
-
-
-def upload_progress(events: DataFrame) -> DataFrame:
+def _advance(idle: int):
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # nothing came for too long: the upload was given up
+            state.remove()
+            return
+        parts, uploaded, size = state.get if state.exists else (0, 0, None)
+        for f in frames:
+            own = f[f["event"] == "object_part_uploaded"]
+            parts += len(own)
+            uploaded += int(own["bytes"].sum())
+            start = f.loc[f["event"] == "object_upload_starting", "bytes"]
+            size = int(start.iloc[0]) if len(start) else size
+        done = size is not None and uploaded >= size
+        if done:
+            state.remove()
+        else:
+            state.update((parts, uploaded, size))
+            state.setTimeoutDuration(idle)
+        yield pd.DataFrame({"key": [key[0]], "n_parts": [parts], "uploaded": [uploaded], "size": pd.array([size], dtype="Int64"), "done": [done]})
+
+    return run
+
+
+def upload_progress(events: DataFrame, idle_hours: float = 24) -> DataFrame:
     """Parts and bytes of every object so far, from its start event and its part events in any order.
 
     ``events`` streams ``event, key, bytes``. The state of an object is three
-    numbers and goes when all its bytes are there.
+    numbers and goes when all its bytes are there, or when nothing came for ``idle_hours``.
     """
-    return events.select("event", "key", F.col("bytes").cast("long").alias("bytes")).groupBy("key").applyInPandasWithState(_advance, OUT, "parts long, uploaded long, size long", "update", GroupStateTimeout.NoTimeout)
+    advance = _advance(int(idle_hours * 3_600_000))
+    return events.select("event", "key", F.col("bytes").cast("long").alias("bytes")).groupBy("key").applyInPandasWithState(advance, OUT, "parts long, uploaded long, size long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def running_totals(events: DataFrame) -> DataFrame:
