@@ -15,10 +15,11 @@ ignored, also those with names of the result.
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -103,26 +104,34 @@ class Counter:
         symbols = list(text.encode())
         n, size, rank, made = len(symbols), self.size, self.ranks.get, self.made
         # a heap entry is a rank and a place in one number
-        heap = [r * n + i for i in range(n - 1) if (r := rank(symbols[i] * size + symbols[i + 1])) is not None]
-        heapq.heapify(heap)
+        bits, heap = n.bit_length(), []
+        place, left = (1 << bits) - 1, symbols[0]
+        for i in range(1, n):
+            right = symbols[i]
+            if (r := rank(left * size + right)) is not None:
+                heap.append(r << bits | i - 1)
+            left = right
+        heapify(heap)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         done = 0
         while heap:
-            r, i = divmod(heapq.heappop(heap), n)
+            entry = heappop(heap)
+            i, r = entry & place, entry >> bits
             j = after[i]
             # a pair that has changed since it was pushed has another rank, or none
             if j >= n or rank(symbols[i] * size + symbols[j]) != r:
                 continue
-            symbols[i], symbols[j] = made[r], -1
+            symbols[i] = new = made[r]
+            symbols[j] = -1
             done += 1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (s := rank(symbols[i] * size + symbols[k])) is not None:
-                    heapq.heappush(heap, s * n + i)
+                if (s := rank(new * size + symbols[k])) is not None:
+                    heappush(heap, s << bits | i)
             h = before[i]
-            if h >= 0 and (s := rank(symbols[h] * size + symbols[i])) is not None:
-                heapq.heappush(heap, s * n + h)
+            if h >= 0 and (s := rank(symbols[h] * size + new)) is not None:
+                heappush(heap, s << bits | h)
         return n - done
 
     def text(self, text: str | None) -> int:
@@ -147,6 +156,12 @@ class Counter:
         return sum(map(self.pieces.__getitem__, self.find(first))) + sum(map(self.words.__getitem__, others))
 
 
+@lru_cache(maxsize=2)
+def counter(definition: str) -> Counter:
+    """One for all tasks of a worker: what one has counted the next one knows."""
+    return Counter(definition)
+
+
 def tokenizer_file(tokenizer: str = TOKENIZER) -> str:
     """The content of a public tokenizer's file."""
     import public_tokenizers
@@ -162,9 +177,9 @@ def count_tokens(docs: DataFrame, definition: str, limit: int = LIMIT, id_col: s
     sent = spark.sparkContext.broadcast(definition)  # one file, of the vocabulary's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(sent.value)
+        own = counter(sent.value)
         for batch in batches:
-            counts = [counter.text(t.as_py()) for t in batch.column(1)]
+            counts = [own.text(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     text = F.col(text_col).cast("string")
