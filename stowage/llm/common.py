@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that jobs inside an operator hand to Python at once.
+ARROW_ROWS = 1024
 #: A key is hot if it has more than one in this many of all rows: there are at most so many of them.
 HOT = 1000
 #: Buckets that the rows of a hot key are dealt to.
@@ -38,10 +41,26 @@ def prepare(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stowage-"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs of this block hand at most ``ARROW_ROWS`` rows at once to Python; the session's setting is as before afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if 0 < int(before) <= ARROW_ROWS:
+        yield
+        return
+    spark.conf.set(key, str(ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and read from the shared checkpoint folder."""
     prepare(df.sparkSession)
-    return df.checkpoint()
+    with small_batches(df.sparkSession):
+        return df.checkpoint()
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -52,7 +71,8 @@ def folder(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, path: str) -> DataFrame:
     """The same rows, written as Parquet and read again."""
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

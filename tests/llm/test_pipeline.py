@@ -93,6 +93,36 @@ def test_every_stage_on_what_is_left(spark, folder):
     check_packing(kept, run.collect(), packing.BUDGET, packing.BUCKETS)
 
 
+def test_nulls_repeated_ids_clashing_columns_and_long_texts(spark, folder, tmp_path):
+    """Every stage keeps the columns of its input, and what it decides holds for rows without ids too."""
+    path = folder[0]
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(n))
+    own, other, long = text(60), text(60), text(40_000)
+    item = spark.read.parquet(f"{path}/benchmark.parquet").first().text
+    rows = [(1, own), (1, own), (1, other), (2, own), (None, own), (None, text(50)), (None, None), (3, None), (4, ""), (5, long), (6, f"{text(20)} {item}"), (None, f"{text(20)} {item}"), (7, " zorgon plimf zorgonish" * 3)]
+    docs = spark.createDataFrame([(i, t, None, "s", None, 1, 2, 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row long, n long, _row long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{path}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    left = spark.read.parquet(f"{tmp_path}/documents.parquet").drop("_row")
+    columns = left.columns
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        left = stage(spark, left, str(tmp_path))
+        assert left.columns == columns, name
+        left = left.checkpoint()
+    got = sorted(((r.doc_id or 0, r.text) for r in left.collect()), key=str)
+    assert got == sorted([(0, next(t for i, t in rows[5:6])), (0, None), (1, own), (1, other), (3, None), (4, ""), (5, long), (7, rows[-1][1])], key=str)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() <= len(got)
+
+
+def test_session_settings_stay(spark, folder):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    corpus_pipeline.STAGES[2][1](spark, spark.read.parquet(f"{folder[0]}/documents.parquet"), folder[0]).count()
+    assert spark.conf.get(key) == before
+
+
 def test_empty_tables(spark, folder, tmp_path):
     path = folder[0]
     for name in ("documents", "labels", "benchmark"):
