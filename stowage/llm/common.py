@@ -82,6 +82,14 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name for a column that ``df`` doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def sieve(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left rows whose key may be on the right: a filter with one hash function, for the join that follows.
 

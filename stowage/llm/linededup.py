@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MARKS, cut, hot_join, sieve, table
+from .common import MARKS, cut, hot_join, sieve, table, unused
 
 #: The rolling hash is taken modulo a prime.
 PRIME = 1_048_573
@@ -75,25 +75,26 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     ``text`` is what is left, and ``n_chars``, where there is one, its length.
     """
+    id_, gone_, left_ = (unused(docs, n) for n in ("_id", "_gone", "_left"))
     found = cut(repeats(docs))
-    gone = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("chunk", "h")).alias("_gone"))
+    gone = found.groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set(F.struct("chunk", "h")).alias(gone_))
     if found.limit(MARKS + 1).count() <= MARKS:  # each is some bytes: the table has a bound and texts need not move
         gone = F.broadcast(gone)
-    rows = docs.withColumn("text", F.col("text").cast("string")).join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left")
+    rows = docs.withColumn("text", F.col("text").cast("string")).join(gone, F.col("doc_id").cast("long") == F.col(id_), "left")
     # the hash tells rows that share an id apart
-    stays = "filter(cs, (c, k) -> not array_contains(_gone, named_struct('chunk', k, 'h', xxhash64(array_join(c, '\n')))))"
+    stays = f"filter(cs, (c, k) -> not array_contains({gone_}, named_struct('chunk', k, 'h', xxhash64(array_join(c, '\n')))))"
     counts = "'chunks', cast(size(cs) - size(ks) as bigint), 'lines', cast(size(flatten(cs)) - size(flatten(ks)) as bigint)"
     left = let("cs", CHUNKS, let("ks", stays, f"named_struct('text', if(size(cs) = 0, text, array_join(flatten(ks), '\n')), {counts})"))
-    out = rows.withColumn("_left", F.expr(f"case when _gone is not null then {left} end"))
+    out = rows.withColumn(left_, F.expr(f"case when {gone_} is not null then {left} end"))
     out = out.withColumns(
         {
-            "text": F.expr("if(_gone is null, text, _left.text)"),
-            "n_chunks_removed": F.coalesce(F.col("_left.chunks"), F.lit(0)).cast("long"),
-            "n_lines_removed": F.coalesce(F.col("_left.lines"), F.lit(0)).cast("long"),
+            "text": F.expr(f"if({gone_} is null, text, {left_}.text)"),
+            "n_chunks_removed": F.coalesce(F.col(f"{left_}.chunks"), F.lit(0)).cast("long"),
+            "n_lines_removed": F.coalesce(F.col(f"{left_}.lines"), F.lit(0)).cast("long"),
         }
     )
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.expr("if(_gone is null, n_chars, char_length(text))").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.expr(f"if({gone_} is null, n_chars, char_length(text))").cast(docs.schema["n_chars"].dataType))
     added = ("n_chunks_removed", "n_lines_removed")
     return out.select(*(c for c in docs.columns if c not in added), *added)
 

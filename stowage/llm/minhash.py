@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join, prepare, sieve, small, table
+from .common import cut, hot_join, prepare, sieve, small, table, unused
 from .components import connected_components
 from .setjoin import WIDTH, links
 from .words import U, distinct, mix, rounds, shingle_hashes, strings, word_hashes
@@ -109,16 +109,16 @@ def first_of_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Rows without an id come after all others. Rows without words stay.
     """
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    key, own = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), unused(docs, "row")
     all_ = cut(groups(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), percent).where("component is not null"))
     first = all_.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = small(hot_join(all_, first, "component", "row", all_.count()).where(F.col("row") != F.col("first.row")).select(F.col("row").alias("_row")).distinct())
-    left = docs.join(gone, key == F.col("_row"), "left_anti")
-    repeated = small(all_.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("_row")))
+    gone = small(hot_join(all_, first, "component", "row", all_.count()).where(F.col("row") != F.col("first.row")).select(F.col("row").alias(own)).distinct())
+    left = docs.join(gone, key == F.col(own), "left_anti")
+    repeated = small(all_.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias(own)))
     if repeated.isEmpty():
         return left
-    once = left.join(repeated, key == F.col("_row")).dropDuplicates(["_row"]).drop("_row")
-    return left.join(repeated, key == F.col("_row"), "left_anti").union(once)
+    once = left.join(repeated, key == F.col(own)).dropDuplicates([own]).drop(own)
+    return left.join(repeated, key == F.col(own), "left_anti").union(once)
 
 
 def groups(texts: DataFrame, percent: int) -> DataFrame:

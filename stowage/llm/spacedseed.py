@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join, prepare, sieve, small, table
+from .common import cut, hot_join, prepare, sieve, small, table, unused
 from .words import U, powers, rounds, strings, word_hashes
 
 MASKS = ("1111111", "1101101011", "1011011011", "11100110101")
@@ -180,8 +180,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item is found."""
-    gone = small(matches(docs, benchmark).select(F.col("row").alias("_row")).distinct())
-    return docs.join(gone, row_key() == F.col("_row"), "left_anti")
+    own = unused(docs, "row")
+    gone = small(matches(docs, benchmark).select(F.col("row").alias(own)).distinct())
+    return docs.join(gone, row_key() == F.col(own), "left_anti")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -101,11 +101,11 @@ def test_nulls_repeated_ids_clashing_columns_and_long_texts(spark, folder, tmp_p
     own, other, long = text(60), text(60), text(40_000)
     item = spark.read.parquet(f"{path}/benchmark.parquet").first().text
     rows = [(1, own), (1, own), (1, other), (2, own), (None, own), (None, text(50)), (None, None), (3, None), (4, ""), (5, long), (6, f"{text(20)} {item}"), (None, f"{text(20)} {item}"), (7, " zorgon plimf zorgonish" * 3)]
-    docs = spark.createDataFrame([(i, t, None, "s", None, 1, 2, 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row long, n long, _row long")
+    docs = spark.createDataFrame([(i, t, None, "s", None, 1, 2, 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row long, _gone long, _id long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{path}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
-    left = spark.read.parquet(f"{tmp_path}/documents.parquet").drop("_row")
+    left = spark.read.parquet(f"{tmp_path}/documents.parquet")
     columns = left.columns
     for name, stage in corpus_pipeline.STAGES[1:-1]:
         left = stage(spark, left, str(tmp_path))
