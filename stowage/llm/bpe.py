@@ -18,7 +18,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -33,7 +32,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: A space after white space or at the start: pieces then depend on what is before the space.
 WIDE = re.compile(r"(?:\s|\A) ").search
 #: Pieces (and as many words) that a worker remembers, and the longest one it does.
-REMEMBERED, LONGEST, LIMIT = 300_000, 64, 512
+REMEMBERED, LONGEST, LIMIT = 200_000, 64, 512
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -90,10 +89,6 @@ class Counter:
         #: Counts of pieces, and of words after a space.
         self.pieces, self.words = Remembered(self.piece), Remembered(self.word)
 
-    def forget(self) -> None:
-        """Drops the older halves: what a worker keeps between tasks is small."""
-        self.pieces.older, self.words.older = {}, {}
-
     def word(self, word: str) -> int:
         """Tokens of a word with the space before it."""
         if word.isalpha() and max(word) < "\u0250":  # letters of which all that know Unicode say so: one piece
@@ -160,12 +155,6 @@ class Counter:
         return sum(map(self.pieces.__getitem__, self.find(first))) + sum(map(self.words.__getitem__, others))
 
 
-@lru_cache(maxsize=2)
-def counter(definition: str) -> Counter:
-    """One for all tasks of a worker: what one has counted the next one knows."""
-    return Counter(definition)
-
-
 def tokenizer_file(tokenizer: str = TOKENIZER) -> str:
     """The content of a public tokenizer's file."""
     import public_tokenizers
@@ -181,11 +170,10 @@ def count_tokens(docs: DataFrame, definition: str, limit: int = LIMIT, id_col: s
     sent = spark.sparkContext.broadcast(definition)  # one file, of the vocabulary's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(sent.value)
+        own = Counter(sent.value)  # of this task: an executor has more workers than cores, and idle ones would keep theirs
         for batch in batches:
             counts = [own.text(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
-        own.forget()
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
