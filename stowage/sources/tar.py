@@ -12,9 +12,13 @@ system pyarrow knows for the scheme.
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
+import struct
 import uuid
+import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +33,8 @@ from stowage.sources.listing import Listing
 ENTRY_SCHEMA = "key string, size long, header_offset long, data_offset long, type string"
 #: Entries of a span.
 SPAN = 10_000
+#: Runs of a task that its message holds; runs of all tasks' lists that the commit holds at once.
+LISTED, HELD = 64, 1 << 16
 PART_SCHEMA = "key string, size long, part_number int, range_start long, range_end long, data binary"
 
 
@@ -183,11 +189,10 @@ def entry_header(key: str, size: int) -> bytes:
 
 @dataclass
 class Piece(WriterCommitMessage):
-    """A file that a task wrote, its runs of bytes (offset in the archive, length, offset in the file), and the ends of each run to find again."""
+    """A file that a task wrote, and the list of its runs of bytes: a file too, if there are more than ``LISTED``, so that no driver holds the runs of all."""
 
     path: str
-    spans: list
-    ends: list
+    runs: list | str
     events: str | None = None
 
 
@@ -202,22 +207,56 @@ def _whole(rows: Iterator) -> Iterator[tuple]:
         yield r, offset, data
 
 
+def _mark(block: bytes) -> int:
+    """Length and checksum of at most a block of bytes, to find them again."""
+    return len(block) << 32 | zlib.crc32(block)
+
+
 class _Runs:
-    """Runs of bytes that a task has written, with the first and the last block of each."""
+    """Runs of bytes that a task has written: offset in the archive, length, offset in the file, and marks of the first and the last bytes."""
+
+    FIELDS = "qqqqq"
 
     def __init__(self) -> None:
-        self.spans: list[tuple[int, int, int]] = []
-        self.ends: list[list[tuple[int, bytes]]] = []
+        self.columns = [array("q") for _ in self.FIELDS]
 
     def add(self, offset: int, data: bytes, at: int) -> None:
         """Adds bytes; those that go on where the last run ends become part of it."""
-        n, last = len(data), (offset + max(0, len(data) - TAR_BLOCK), bytes(data[-TAR_BLOCK:]))
-        if self.spans and self.spans[-1][0] + self.spans[-1][1] == offset and self.spans[-1][2] + self.spans[-1][1] == at:
-            self.spans[-1] = (self.spans[-1][0], self.spans[-1][1] + n, self.spans[-1][2])
-            self.ends[-1][1] = last
+        n, (offsets, lengths, places, first, last) = len(data), self.columns
+        end = _mark(data[-TAR_BLOCK:])
+        if offsets and offsets[-1] + lengths[-1] == offset and places[-1] + lengths[-1] == at:
+            lengths[-1] += n
+            last[-1] = end
         else:
-            self.spans.append((offset, n, at))
-            self.ends.append([(offset, bytes(data[:TAR_BLOCK])), last])
+            for column, x in zip(self.columns, (offset, n, at, _mark(data[:TAR_BLOCK]), end), strict=True):
+                column.append(x)
+
+    def listed(self, where, name: str) -> list | str:
+        """The runs in the order of the archive, or the name of the file that they were written to."""
+        rows = sorted(zip(*self.columns, strict=True))
+        if len(rows) <= LISTED:
+            return rows
+        where.create_dir(name.rsplit("/", 1)[0], recursive=True)
+        with where.open_output_stream(name) as out:
+            for i in range(0, len(rows), LISTED):
+                out.write(b"".join(struct.pack(self.FIELDS, *r) for r in rows[i : i + LISTED]))
+        return name
+
+    @classmethod
+    def of(cls, where, m: Piece, held: int) -> Iterator[tuple]:
+        """``offset, length, path, place, first mark, last mark`` of every run, with at most ``held`` of them in memory."""
+        if not isinstance(m.runs, str):
+            yield from ((offset, n, m.path, *rest) for offset, n, *rest in m.runs)
+            return
+        at, width = 0, struct.calcsize(cls.FIELDS)
+        while True:
+            with where.open_input_file(m.runs) as f:  # closed between reads: there are as many files as tasks
+                f.seek(at)
+                data = f.read(held * width)
+            if not data:
+                return
+            yield from ((offset, n, m.path, *rest) for offset, n, *rest in struct.iter_unpack(cls.FIELDS, data))
+            at += len(data)
 
 
 class _Events:
@@ -271,7 +310,8 @@ class _Writer(DataSourceWriter):
     file beside the target. The driver creates it and tasks only open it, so a folder that is not the
     same for all machines is an error and not a gap. The commit looks for what tasks say they
     wrote, adds the trailer and renames the file. A task that
-    is run again writes the same bytes to the same places.
+    is run again writes the same bytes to the same places. Rows in any order make as many runs of bytes as there
+    are rows: each task writes a sorted list of its own, and the commit merges these as it reads them.
 
     Other stores have no writes in place: there each attempt writes a file of
     its own, and the commit streams these, in order, into the one object.
@@ -281,9 +321,19 @@ class _Writer(DataSourceWriter):
         self.path, self.store = options["path"], store_of(options)
         self.work = f"{self.path}.parts-{uuid.uuid4().hex}"
         self.events, self.chunk = options.get("events"), int(options.get("chunk", 8 << 20))
+        self.lists = f"{self.work}.runs"
         if self._mounted():
             os.close(os.open(filesystem(self.work, self.store)[1], os.O_CREAT | os.O_EXCL | os.O_WRONLY, 0o644))
 
+    def _listed(self, runs: _Runs) -> list | str:
+        where, folder = filesystem(self.lists, self.store)
+        return runs.listed(where, f"{folder}/{uuid.uuid4().hex}")
+
+    def _merged(self, messages: list) -> Iterator[tuple]:
+        """The runs of all tasks in the order of the archive."""
+        where, held = filesystem(self.lists, self.store)[0], max(16, HELD // max(1, len(messages)))
+        return heapq.merge(*(_Runs.of(where, m, held) for m in messages))
+
     def _mounted(self) -> bool:
         from pyarrow import fs
 
@@ -308,7 +358,7 @@ class _Writer(DataSourceWriter):
                 os.fsync(fd)
             finally:
                 os.close(fd)
-            return Piece(name, runs.spans, runs.ends, log.close() if log else None)
+            return Piece(name, self._listed(runs), log.close() if log else None)
         where.create_dir(name, recursive=True)
         own, at = f"{name}/{uuid.uuid4().hex}", 0
         with where.open_output_stream(own) as out:
@@ -318,13 +368,12 @@ class _Writer(DataSourceWriter):
                 at += len(data)
                 if log:
                     log.add(r)
-        return Piece(own, runs.spans, [], log.close() if log else None)
+        return Piece(own, self._listed(runs), log.close() if log else None)
 
     def commit(self, messages: list) -> None:
         messages = [m for m in messages if m]
-        pieces = sorted((offset, n, m.path, at) for m in messages for offset, n, at in m.spans)
         end = 0
-        for offset, n, _, _ in pieces:
+        for offset, n, *_ in self._merged(messages):
             if offset != end:
                 self._clean()
                 raise CorruptArchive(f"bytes {end} to {offset} of the archive are missing or there twice")
@@ -334,7 +383,7 @@ class _Writer(DataSourceWriter):
         else:
             where, name = filesystem(self.path, self.store)
             with where.open_output_stream(name) as out:
-                for _, n, path, at in pieces:
+                for _, n, path, at, *_ in self._merged(messages):
                     with where.open_input_file(path) as f:
                         f.seek(at)
                         while n:
@@ -357,13 +406,15 @@ class _Writer(DataSourceWriter):
         try:
             fd = os.open(name, os.O_RDWR)
         except FileNotFoundError as e:
+            self._clean()
             raise CorruptArchive(f"{self.path}: what tasks have written is gone") from e
         try:
             if os.fstat(fd).st_size != end:
                 raise CorruptArchive(f"{self.path}: tasks have written {end} bytes, but {os.fstat(fd).st_size} are there; is the folder the same for all machines?")
-            for offset, data in (e for m in messages for pair in m.ends for e in pair):
-                if os.pread(fd, len(data), offset) != data:
-                    raise CorruptArchive(f"{self.path}: bytes at {offset} are not those that a task has written")
+            for offset, n, _, _, first, last in self._merged(messages):
+                for at, mark in ((offset, first), (offset + n - (last >> 32), last)):
+                    if _mark(os.pread(fd, mark >> 32, at)) != mark:
+                        raise CorruptArchive(f"{self.path}: bytes at {at} are not those that a task has written")
             os.ftruncate(fd, end + 2 * TAR_BLOCK)
             os.fsync(fd)
         except CorruptArchive:
@@ -372,6 +423,7 @@ class _Writer(DataSourceWriter):
         finally:
             os.close(fd)
         os.replace(name, filesystem(self.path, self.store)[1])
+        self._clean()
 
     def abort(self, messages: list) -> None:
         self._clean()
@@ -379,12 +431,13 @@ class _Writer(DataSourceWriter):
     def _clean(self) -> None:
         from pyarrow import fs
 
-        where, name = filesystem(self.work, self.store)
-        kind = where.get_file_info(name).type
-        if kind == fs.FileType.Directory:
-            where.delete_dir(name)
-        elif kind == fs.FileType.File:
-            where.delete_file(name)
+        for path in (self.work, self.lists):
+            where, name = filesystem(path, self.store)
+            kind = where.get_file_info(name).type
+            if kind == fs.FileType.Directory:
+                where.delete_dir(name)
+            elif kind == fs.FileType.File:
+                where.delete_file(name)
 
 
 class TarSink(DataSource):

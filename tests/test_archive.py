@@ -252,6 +252,33 @@ def test_lost_bytes_fail_the_commit(tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["a.tar"]
 
 
+def test_messages_do_not_grow_with_rows(tmp_path):
+    """Rows that no two tasks have in the archive's order: a run of bytes for each, of which the driver gets no list."""
+    objects = {f"k{i}": bytes([i % 251]) * (i % 900) for i in range(3000)}
+    rows, at = [], 0
+    for k, v in objects.items():
+        rows.append(Row(k, v, at))
+        at += 512 + -(-len(v) // 512) * 512
+    random.Random(1).shuffle(rows)
+    w = writer(tmp_path / "a.tar")
+    messages = [w.write(rows[i::3]) for i in range(3)]
+    assert len(pickle.dumps(messages)) < 3000
+    w.commit(messages)
+    assert contents(tmp_path / "a.tar") == digests(objects)
+
+    for damage in (lambda f: f.truncate(at - 512), lambda f: (f.seek(rows[7].header_offset), f.write(b"\1"))):
+        w = writer(tmp_path / "lost.tar")
+        messages = [w.write(rows[i::3]) for i in range(3)]
+        with Path(w.work).open("r+b") as f:
+            damage(f)
+        with pytest.raises(CorruptArchive):
+            w.commit(messages)
+    w = writer(tmp_path / "hole.tar")
+    with pytest.raises(CorruptArchive):
+        w.commit([w.write(rows[i::3]) for i in range(2)])
+    assert [p.name for p in tmp_path.iterdir()] == ["a.tar"]
+
+
 def test_a_task_that_does_not_see_the_folder_fails(tmp_path):
     w = writer(tmp_path / "a.tar")
     Path(w.work).unlink()
