@@ -68,11 +68,17 @@ def contiguity(parts: DataFrame, keys: list[str] = IDENTITY) -> DataFrame:
 
 
 def completeness(done: DataFrame, expected: DataFrame, keys: list[str] = IDENTITY) -> DataFrame:
-    """Parts that were finished against parts that were planned, for every object."""
-    a = expected.groupBy(*keys).agg(F.count("*").alias("n_expected"))
-    b = done.select(*keys, "part_number").distinct().groupBy(*keys).agg(F.count("*").alias("n_done"))
-    on = [a[k].eqNullSafe(b[k]) for k in keys]
-    out = a.join(b, on, "left").select(*(a[k] for k in keys), "n_expected", F.coalesce("n_done", F.lit(0)).alias("n_done"))
+    """Planned parts and those of them that were finished, each once, for every object.
+
+    64 part numbers are a mask, which is combined where the parts are: a row for each mask is shuffled, none for a part.
+    """
+    number, one = F.col("part_number"), F.lit(1).cast("long")
+    bit = F.call_function("shiftleft", one, F.expr("cast(part_number & 63 as int)"))
+    masks = lambda df, side: df.select(*keys, F.shiftright(number, 6).alias("_block"), F.lit(side).alias("_done"), bit.alias("_bit"))
+    every = masks(expected, False).unionByName(masks(done, True))
+    side = lambda x: F.coalesce(F.bit_or(F.when(F.col("_done") == x, F.col("_bit"))), F.lit(0).cast("long"))
+    by = every.groupBy(*keys, "_block").agg(F.count_if(~F.col("_done")).alias("_n"), F.bit_count(side(False).bitwiseAND(side(True))).alias("_both"))
+    out = by.groupBy(*keys).agg(F.sum("_n").alias("n_expected"), F.sum("_both").cast("long").alias("n_done")).where("n_expected > 0")
     return out.withColumn("complete", F.col("n_done") == F.col("n_expected"))
 
 

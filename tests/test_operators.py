@@ -123,3 +123,14 @@ def test_invariants_of_a_damaged_log(spark):
     assert {r.invariant for r in damaged if not r.holds} == {"input_part_unordered_downloaded = input_part_downloaded", "archive_part_written = input_part_downloaded"}
     twice = whole.union(whole.where("event = 'input_object_download_started'")).selectExpr("'archive_initialized' as event")
     assert log.repeated(twice).first().n == twice.count()
+
+
+def test_completeness_shuffles_no_parts(spark):
+    """Parts go into masks of 64 before the shuffle; repeated ones, and some that nobody planned, count for nothing."""
+    planned = spark.createDataFrame([("b", k, None, p) for k, n in (("long", 200), ("gap", 65), ("none", 1), ("other", 2)) for p in range(n)], "bucket string, key string, version_id string, part_number int")
+    some = [("long", p) for p in range(200)] * 2 + [("gap", p) for p in range(65) if p != 63] + [("other", 0), ("other", 7), ("unknown", 0)]
+    out = parts.completeness(spark.createDataFrame([("b", k, None, p) for k, p in some], planned.schema), planned)
+    assert {r.key: (r.n_expected, r.n_done, r.complete) for r in out.collect()} == {"long": (200, 200, True), "gap": (65, 64, False), "none": (1, 0, False), "other": (2, 1, False)}
+    dealt = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert dealt
+    assert not any("part_number" in line for line in dealt)
