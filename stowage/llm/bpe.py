@@ -6,6 +6,9 @@ lowest is popped and merged again and again. The number of tokens is the
 number of initial symbols less the number of merges; no token ids are made.
 Each worker remembers the counts of recent words and pieces, in bounded memory.
 
+``Many`` has the same counts, of many pieces at a time: heaps give way to arrays of merge ranks, and a
+round merges the lowest pair of every piece.
+
 Edge cases. Null and empty texts have no tokens. Special strings inside a
 text are one token each, as is the library's default. Texts are taken whole,
 whatever their length, and a piece of any length takes n log n steps. Repeated rows and rows
@@ -20,6 +23,7 @@ import re
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +38,11 @@ WIDE = re.compile(r"(?:\s|\A) ").search
 #: Pieces (and as many words) that a worker remembers, and the longest one it does.
 REMEMBERED, LONGEST, LIMIT = 200_000, 64, 512
 TOKENIZER = "byte_bpe_50k.json"
+#: Of ``Many``: characters of the texts that are looked at together, words that are remembered, and pieces that are merged at once.
+TEXTS, KEPT, PIECES_AT_ONCE = 1 << 20, 200_000, 1 << 13
+#: ASCII characters that are neither letters nor digits nor white space: after a word, a run of them is one piece.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+NEVER = 1 << 62
 
 
 def byte_names() -> list[str]:
@@ -49,8 +58,8 @@ class Remembered(dict):
     When it is full, it becomes the older of two halves; what is asked for again comes back from there.
     """
 
-    def __init__(self, work: Callable[[str], int]) -> None:
-        self.work, self.older = work, {}
+    def __init__(self, work: Callable[[str], int], most: int = REMEMBERED) -> None:
+        self.work, self.most, self.older = work, most, {}
 
     def __missing__(self, key: str) -> int:
         n = self.older.get(key)
@@ -58,7 +67,7 @@ class Remembered(dict):
             n = self.work(key)
             if len(key) > LONGEST:
                 return n
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[key] = n
@@ -133,6 +142,10 @@ class Counter:
                 heappush(heap, s << bits | h)
         return n - done
 
+    def texts(self, texts: pa.Array) -> list[int]:
+        """Tokens of each of many texts."""
+        return [self.text(t.as_py()) for t in texts]
+
     def text(self, text: str | None) -> int:
         """Tokens of a whole text."""
         if not text:
@@ -155,6 +168,152 @@ class Counter:
         return sum(map(self.pieces.__getitem__, self.find(first))) + sum(map(self.words.__getitem__, others))
 
 
+class Ranks:
+    """Merge ranks by pair, as a hash table in arrays."""
+
+    def __init__(self, ranks: dict[int, int]) -> None:
+        keys, self.shift = np.fromiter(ranks, np.int64, len(ranks)), 64 - max(8, len(ranks).bit_length() + 2)
+        self.mask = (1 << (64 - self.shift)) - 1
+        self.keys, self.ranks = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, NEVER, np.int64)
+        values, at = np.fromiter(ranks.values(), np.int64, len(ranks)), self.first(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            self.keys[at[free]] = keys[free]  # of several for one slot, one stays
+            own = self.keys[at] == keys
+            self.ranks[at[own]] = values[own]
+            keys, values, at = keys[~own], values[~own], (at[~own] + 1) & self.mask
+
+    def first(self, keys: np.ndarray) -> np.ndarray:
+        """The slot at which the search for a key begins."""
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The rank of each pair; ``NEVER`` if it does not merge."""
+        at = self.first(keys)
+        there, out = self.keys[at], self.ranks[at]
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        out[there != keys] = NEVER
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            there = self.keys[at[left]]
+            found = there == keys[left]
+            out[left[found]] = self.ranks[at[left[found]]]
+            left = left[~found & (there >= 0)]
+        return out
+
+
+class Many(Counter):
+    """Counts the tokens of many texts at a time: words that are not remembered are merged together, in arrays."""
+
+    def __init__(self, definition: str) -> None:
+        super().__init__(definition)
+        self.pieces, self.words = Remembered(self.piece, KEPT), Remembered(self.word, KEPT)
+        #: Counts of the words of recent texts, with the space before each.
+        self.known: dict[str, int] = {}
+        self.table, self.symbols = Ranks(self.ranks), np.array(self.made, np.int64)
+        every = np.arange(1 << 16)
+        #: Ranks of pairs of bytes.
+        self.bytes = self.table.of((every >> 8) * self.size + (every & 255))
+
+    def texts(self, texts: pa.Array) -> list[int]:
+        out, held, n = [], [], 0
+        for t in texts:
+            held.append(t.as_py() or "")
+            n += len(held[-1])
+            if n >= TEXTS:
+                out += self.together(held)
+                held, n = [], 0
+        return out + self.together(held)
+
+    def together(self, texts: list[str]) -> list[int]:
+        """Tokens of each text. The words of all are counted first; texts that are not cut at single spaces are counted as before."""
+        cut = [None if not t or WIDE(t) or (self.special and self.special.search(t)) else t.split(" ") for t in texts]
+        words = set().union(*(w[1:] for w in cut if w))
+        self.learn(words)
+        known = self.known.__getitem__
+        out = [self.text(t) if w is None else sum(map(self.pieces.__getitem__, self.find(w[0]))) + sum(map(known, w[1:])) for t, w in zip(texts, cut, strict=True)]
+        if len(self.known) > KEPT:  # the words of these texts stay
+            self.known = {w: self.known[w] for w in words if len(w) <= LONGEST}
+        return out
+
+    def learn(self, words: set[str]) -> None:
+        """Counts the tokens of each word, with the space before it, that is not known."""
+        new, whole, marked, parts = words.difference(self.known), [], [], []
+        for w in new:
+            if w.isalpha() and (w.isascii() or max(w) < "\u0250"):  # as in ``word``
+                whole.append(w)
+                continue
+            core = w.rstrip(MARKS)
+            if core != w and core.isascii() and core.isalpha():
+                marked.append((w, core))
+            elif len(own := self.find(" " + w)) == 1:
+                whole.append(w)
+            else:
+                parts.append((w, own))
+        begun = {core for _, core in marked}
+        begun |= {p[1:] for _, own in parts for p in own if p[0] == " " and len(p) > 1}
+        whole += begun.difference(new, self.known)
+        self.known.update(zip(whole, self.merged([" " + w for w in whole]), strict=True))
+        for w, core in marked:
+            self.known[w] = self.known[core] + self.pieces[w[len(core) :]]
+        for w, own in parts:
+            self.known[w] = sum(self.known[p[1:]] if p[0] == " " and len(p) > 1 else self.pieces[p] for p in own)
+
+    def merged(self, pieces: list[str]) -> list[int]:
+        """Tokens of each of many pieces. Long ones go to the heap, as rounds would be as many as merges."""
+        out = np.zeros(len(pieces), np.int64)
+        data = [p.encode() for p in pieces]
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        for i in np.flatnonzero(lengths > 4 * LONGEST).tolist():
+            out[i] = self.piece(pieces[i])
+        order = np.argsort(lengths, kind="stable")
+        order = order[lengths[order] <= 4 * LONGEST]
+        for lo in range(0, len(order), PIECES_AT_ONCE):
+            own = order[lo : lo + PIECES_AT_ONCE]
+            out[own] = self.rounds(np.frombuffer(b"".join([data[i] for i in own.tolist()]), np.uint8).astype(np.int64), lengths[own])
+        return out.tolist()
+
+    def rounds(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Symbols that are left of each piece when no pair merges any more.
+
+        Pieces stand one after the other, each a linked list. A place holds the rank of its pair with the one after it, and the place
+        itself in the lower bits: the least number of a piece is its lowest pair, the first of equal ones.
+        """
+        left, n = lengths.copy(), len(symbols)
+        ends = np.cumsum(lengths)
+        starts, bits = ends - lengths, int(n).bit_length()
+        before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
+        before[starts], after[ends - 1] = -1, -1
+        lowest = np.full(n, NEVER, np.int64)
+        rank = self.bytes[symbols[:-1] << 8 | symbols[1:]]
+        at = np.flatnonzero((rank < NEVER) & (after[:-1] >= 0))
+        lowest[at] = rank[at] << bits | at
+
+        def paired(at: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+            rank = self.table.of(a * self.size + b)
+            lowest[at] = np.where(rank < NEVER, rank << bits | at, NEVER)
+
+        while True:
+            best = np.minimum.reduceat(lowest, starts)
+            some = np.flatnonzero(best < NEVER)
+            if not len(some):
+                return left
+            left[some] -= 1
+            best = best[some]
+            i = best & ((1 << bits) - 1)
+            new = self.symbols[best >> bits]
+            j = after[i]
+            k = after[j]
+            symbols[i], after[i] = new, k
+            lowest[i] = lowest[j] = NEVER
+            has = np.flatnonzero(k >= 0)
+            before[k[has]] = i[has]
+            paired(i[has], new[has], symbols[k[has]])
+            h = before[i]
+            has = np.flatnonzero(h >= 0)
+            paired(h[has], symbols[h[has]], new[has])
+
+
 def tokenizer_file(tokenizer: str = TOKENIZER) -> str:
     """The content of a public tokenizer's file."""
     import public_tokenizers
@@ -163,16 +322,16 @@ def tokenizer_file(tokenizer: str = TOKENIZER) -> str:
         return f.read()
 
 
-def count_tokens(docs: DataFrame, definition: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, over_limit`` for every document; ``definition`` is the content of the tokenizer's file."""
+def count_tokens(docs: DataFrame, definition: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", counter: type[Counter] = Counter) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens, over_limit`` for every document; ``definition`` is the content of the tokenizer's file, ``counter`` one of the two."""
     spark = docs.sparkSession
     prepare(spark)
     sent = spark.sparkContext.broadcast(definition)  # one file, of the vocabulary's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Counter(sent.value)  # of this task: an executor has more workers than cores, and idle ones would keep theirs
+        own = counter(sent.value)  # of this task: an executor has more workers than cores, and idle ones would keep theirs
         for batch in batches:
-            counts = [own.text(t.as_py()) for t in batch.column(1)]
+            counts = own.texts(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     text = F.col(text_col).cast("string")

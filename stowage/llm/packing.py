@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import count_tokens, tokenizer_file
+from .bpe import Many, count_tokens, tokenizer_file
 from .common import cut, table
 
 BUCKETS, BUDGET, CHUNK = 16, 32_768, 2048
@@ -79,7 +79,7 @@ def pack(docs: DataFrame, n_buckets: int = BUCKETS, budget: int = BUDGET, tokeni
     of a tokenizer's file, by default that of ``bpe.TOKENIZER``.
     """
     # rows get numbers, so that those without an id, or with the same one, are dealt to chunks like others
-    counted = count_tokens(docs.select("doc_id", "text"), tokenizer or tokenizer_file()).select("doc_id", "n_tokens", F.monotonically_increasing_id().alias("row"))
+    counted = count_tokens(docs.select("doc_id", "text"), tokenizer or tokenizer_file(), counter=Many).select("doc_id", "n_tokens", F.monotonically_increasing_id().alias("row"))
     sizes = cut(counted)
     histogram = sizes.groupBy("n_tokens").agg(F.count("*").alias("n")).toArrow().sort_by("n_tokens")
     length, count = (histogram[c].to_numpy().astype(np.int64) for c in ("n_tokens", "n"))

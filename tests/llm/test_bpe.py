@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import random
+
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from oracle import DATA
 from tokenizers import Tokenizer
@@ -47,3 +51,43 @@ def test_nulls_empty_tables_and_extra_columns(documents, definition):
 def test_other_kinds_of_files_are_refused():
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f, pytest.raises(ValueError, match="byte-level"):
         bpe.Counter(f.read())
+
+
+def test_many_texts_at_a_time(spark, library, definition, monkeypatch):
+    """Rounds over arrays give what the library gives, whatever is remembered, and make far fewer steps than merges."""
+    monkeypatch.setattr(bpe, "KEPT", 50)
+    monkeypatch.setattr(bpe, "TEXTS", 2000)
+    monkeypatch.setattr(bpe, "PIECES_AT_ONCE", 7)
+    texts = [None, *ODD, *(r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()), "aaaa " + "ab" * 40 + " \n b", "x isn't can't, o'clock' it's. ''s a,b a, é, f) (g) 'll 's, x_ 5% ab5, \x7f a\x7f, a,\x7f", " ".join("é" * i for i in range(1, 80))]
+    expected = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    own = bpe.Many(definition)
+    for _ in range(2):
+        assert own.texts(pa.array(texts)) == expected
+
+
+def test_new_words_are_merged_together(definition, monkeypatch):
+    rounds, own, words = [], bpe.Many(definition), [f"{a}{b}{c}ing" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+    work = own.rounds
+    monkeypatch.setattr(own, "rounds", lambda symbols, lengths: rounds.append(len(lengths)) or work(symbols, lengths))
+    monkeypatch.setattr(own, "piece", lambda text: 1 / 0)
+    own.learn(set(words))
+    assert rounds == [len(words)]
+    assert own.known == {w: bpe.Counter(definition).word(w) for w in words}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ranks_that_no_training_gives(seed):
+    """A merge may make a symbol of pairs with lower ranks, so equal pairs of a piece merge one after the other."""
+    rng = random.Random(seed)
+    made = ["a", "b", "c"]
+    merges = []
+    while len(merges) < 60:
+        x, y = rng.choice(made), rng.choice(made)
+        if len(x + y) < 9 and (x, y) not in merges:
+            merges.append((x, y))
+            made.append(x + y)
+    rng.shuffle(merges)
+    definition = json.dumps({"model": {"type": "BPE", "merges": merges}, "pre_tokenizer": {"type": "ByteLevel"}})
+    words = ["".join(rng.choices("abc", k=rng.randint(1, 40))) for _ in range(300)]
+    one = bpe.Counter(definition)
+    assert bpe.Many(definition).merged(words) == [one.piece(w) for w in words]
