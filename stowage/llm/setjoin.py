@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, by_group, cut, hot_join, pair_blocks
+from .common import SALTS, by_group, cut, hot_join, hot_keys, pair_blocks
 from .components import connected_components
 from .words import distinct, shingle_sets
 
@@ -193,7 +193,7 @@ def links(lists: DataFrame, sizes: DataFrame, bodies: Callable[[DataFrame], Data
     """
     pivots = cut(lists.groupBy("list").agg(F.min("member").alias("pivot"), F.count("*").alias("n")).where("n > 1"))
     total = pivots.agg(F.sum("n")).first()[0] or 0
-    met = cut(hot_join(lists, pivots, "list", "member", total).where("member <> pivot"))
+    met = cut(hot_join(lists, pivots, "list", "member", total, keys=hot_keys(pivots, "list", total)).where("member <> pivot"))
     pairs = met.select("pivot", "member").distinct()
     if need:
         pairs = cut(stars(pairs, signatures, _counted(need), "array<int>")).toDF("pivot", "member")

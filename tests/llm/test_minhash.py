@@ -130,3 +130,13 @@ def test_query_against_sql(spark):
 def test_no_link_is_lost_over_seeds(documents, seed):
     rows = variants(seed, groups=6, words=80)
     assert result(minhash.near_duplicates(documents(rows), 85)) == brute(rows, 85)
+
+
+def test_posts_are_not_joined_to_find_hot_ones(spark, monkeypatch):
+    """A hot list deals its posts to buckets by a test of the key: the only join of posts is with those that others have."""
+    rows = [(i, [7] * 40 + list(range(100 * i, 100 * i + 24))) for i in range(30)]
+    classes = spark.createDataFrame(rows, "member long, signature array<int>")
+    monkeypatch.setattr(common, "HOT", 100)
+    out = minhash.prefixes(classes, 24, 30)
+    assert "LeftOuter" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.list >> 32, r.list & 0xFFFFFFFF, r.member) for r in out.collect()) == [(k, 7, i) for k in range(17) for i in range(30)]
