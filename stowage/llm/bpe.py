@@ -39,7 +39,7 @@ WIDE = re.compile(r"(?:\s|\A) ").search
 REMEMBERED, LONGEST, LIMIT = 200_000, 64, 512
 TOKENIZER = "byte_bpe_50k.json"
 #: Of ``Many``: characters of the texts that are looked at together, words that are remembered, and pieces that are merged at once.
-TEXTS, KEPT, PIECES_AT_ONCE = 1 << 20, 200_000, 1 << 13
+TEXTS, KEPT, PIECES_AT_ONCE = 1 << 19, 100_000, 1 << 13
 #: ASCII characters that are neither letters nor digits nor white space: after a word, a run of them is one piece.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 NEVER = 1 << 62

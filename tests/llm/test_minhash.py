@@ -140,3 +140,14 @@ def test_posts_are_not_joined_to_find_hot_ones(spark, monkeypatch):
     out = minhash.prefixes(classes, 24, 30)
     assert "LeftOuter" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.list >> 32, r.list & 0xFFFFFFFF, r.member) for r in out.collect()) == [(k, 7, i) for k in range(17) for i in range(30)]
+
+
+def test_links_leave_no_python_step_to_others(spark):
+    """What follows in the same tasks would need workers of its own: a forest is computed before it is given on."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join([*base[:59], f"x{i}"])) for i in range(4)]
+    bodies = spark.createDataFrame(texts, "member long, text string")
+    lists = spark.createDataFrame([(1, i) for i, _ in texts], "list long, member long")
+    found = setjoin.links(lists, bodies.selectExpr("member", "56 as size"), lambda wanted: bodies.join(wanted, "member"), 80)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted({x for r in found.collect() for x in (r.u, r.v)}) == [0, 1, 2, 3]
