@@ -151,3 +151,14 @@ def test_links_leave_no_python_step_to_others(spark):
     found = setjoin.links(lists, bodies.selectExpr("member", "56 as size"), lambda wanted: bodies.join(wanted, "member"), 80)
     assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted({x for r in found.collect() for x in (r.u, r.v)}) == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("hot", [1000, 4])
+def test_joins_by_key_have_one_form(spark, monkeypatch, hot):
+    """With hot keys or without, all joins are on the key alone, and the rows are the same."""
+    monkeypatch.setattr(common, "HOT", hot)
+    left = spark.createDataFrame([(k % 3 if k % 2 else k, k) for k in range(60)], "key long, member long")
+    right = left.groupBy("key").count().selectExpr("key", "key * 7 as x", "count as n")
+    out = common.key_join(left, right, "key", 60)
+    assert "_salt" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == sorted((k, i, 7 * k) for k, i in map(tuple, left.collect()))
