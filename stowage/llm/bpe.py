@@ -6,8 +6,9 @@ lowest is popped and merged again and again. The number of tokens is the
 number of initial symbols less the number of merges; no token ids are made.
 Each worker remembers the counts of recent words and pieces, in bounded memory.
 
-``Many`` has the same counts, of many pieces at a time: heaps give way to arrays of merge ranks, and a
-round merges the lowest pair of every piece.
+``Many`` has the same counts, of many pieces at a time: texts are cut where the classes of their bytes change, in arrays, pieces
+are told apart by Arrow's dictionaries, and heaps give way to tables of merge ranks, where a round merges the lowest pair of
+every piece.
 
 Edge cases. Null and empty texts have no tokens. Special strings inside a
 text are one token each, as is the library's default. Texts are taken whole,
@@ -25,6 +26,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,11 +40,15 @@ WIDE = re.compile(r"(?:\s|\A) ").search
 #: Pieces (and as many words) that a worker remembers, and the longest one it does.
 REMEMBERED, LONGEST, LIMIT = 200_000, 64, 512
 TOKENIZER = "byte_bpe_50k.json"
-#: Of ``Many``: characters of the texts that are looked at together, words that are remembered, and pieces that are merged at once.
-TEXTS, KEPT, PIECES_AT_ONCE = 1 << 19, 100_000, 1 << 13
+#: Of ``Many``: bytes of the texts that are looked at together, words and pieces that are remembered, and pieces that are merged at once.
+TEXTS, KEPT, PIECES_AT_ONCE = 1 << 22, 100_000, 1 << 13
 #: ASCII characters that are neither letters nor digits nor white space: after a word, a run of them is one piece.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-NEVER = 1 << 62
+#: The rank of a pair that does not merge.
+NEVER = (1 << 31) - 1
+#: Classes of characters, whose runs are pieces, and how the cut tells them.
+OTHER, LETTER, DIGIT, SPACE, UNKNOWN = range(5)
+KINDS = ((LETTER, regex.compile(r"\p{L}")), (DIGIT, regex.compile(r"\p{N}")), (SPACE, regex.compile(r"\s")))
 
 
 def byte_names() -> list[str]:
@@ -92,8 +98,8 @@ class Counter:
         self.size = len(number)
         self.ranks = {number[a] * self.size + number[b]: rank for rank, (a, b) in enumerate(pairs)}
         self.made = [number[a + b] for a, b in pairs]
-        special = sorted((t["content"] for t in spec.get("added_tokens") or []), key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.specials = sorted((t["content"] for t in spec.get("added_tokens") or []), key=len, reverse=True)
+        self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
         self.find = regex.compile(PIECES).findall
         #: Counts of pieces, and of words after a space.
         self.pieces, self.words = Remembered(self.piece), Remembered(self.word)
@@ -174,7 +180,7 @@ class Ranks:
     def __init__(self, ranks: dict[int, int]) -> None:
         keys, self.shift = np.fromiter(ranks, np.int64, len(ranks)), 64 - max(8, len(ranks).bit_length() + 2)
         self.mask = (1 << (64 - self.shift)) - 1
-        self.keys, self.ranks = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, NEVER, np.int64)
+        self.keys, self.ranks = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, NEVER, np.int32)
         values, at = np.fromiter(ranks.values(), np.int64, len(ranks)), self.first(keys)
         while len(keys):
             free = np.flatnonzero(self.keys[at] < 0)
@@ -202,8 +208,16 @@ class Ranks:
         return out
 
 
+def kinds(text: str) -> np.ndarray:
+    """The class of each character."""
+    out = np.full(len(text), OTHER, np.uint8)
+    for kind, known in KINDS:
+        out[[m.start() for m in known.finditer(text)]] = kind
+    return out
+
+
 class Many(Counter):
-    """Counts the tokens of many texts at a time: words that are not remembered are merged together, in arrays."""
+    """Counts the tokens of many texts at a time: texts are cut, and pieces that are not remembered are merged, in arrays."""
 
     def __init__(self, definition: str) -> None:
         super().__init__(definition)
@@ -214,16 +228,91 @@ class Many(Counter):
         every = np.arange(1 << 16)
         #: Ranks of pairs of bytes.
         self.bytes = self.table.of((every >> 8) * self.size + (every & 255))
+        #: Recent pieces and their counts, and the classes of characters that were met.
+        self.held, self.counts = pa.array([], pa.binary()), np.empty(0, np.int64)
+        self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
+        self.kinds[:128] = kinds("".join(map(chr, range(128))))
 
     def texts(self, texts: pa.Array) -> list[int]:
-        out, held, n = [], [], 0
-        for t in texts:
-            held.append(t.as_py() or "")
-            n += len(held[-1])
-            if n >= TEXTS:
-                out += self.together(held)
-                held, n = [], 0
-        return out + self.together(held)
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        out, special = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        for s in self.specials:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        if special.any():
+            for i in np.flatnonzero(special).tolist():
+                text = texts[i].as_py()
+                out[i] = len(self.special.findall(text)) + sum(self.together(self.special.split(text)))
+            texts = pc.if_else(pa.array(special), "", texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else [0]
+        data = np.frombuffer(texts.buffers()[2], np.uint8) if offsets[-1] else None
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + TEXTS, "right")) - 1)
+            if offsets[hi] > offsets[lo]:
+                out[lo:hi] += self.block(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            lo = hi
+        return out.tolist()
+
+    def block(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Tokens of each of the texts that stand one after the other in ``data``, without special strings."""
+        at = self.cut(data, offsets[:-1][offsets[1:] > offsets[:-1]])
+        bounds = np.append(at, len(data)).astype(np.int32)
+        told = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        total = np.concatenate([[0], np.cumsum(self.distinct(told.dictionary)[told.indices.to_numpy()])])
+        return np.diff(total[np.searchsorted(at, offsets)])
+
+    def cut(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where each piece begins. ``begins`` has the first byte of each text; all bytes of a character are of its class."""
+        n, kind = len(data), self.kinds[data]
+        first = np.zeros(n, bool)
+        first[begins] = True
+        wide = np.flatnonzero(data > 127)
+        points = np.frombuffer(data[wide].tobytes().decode().encode("utf-32-le"), np.uint32)
+        own = self.kinds[points]
+        if (own == UNKNOWN).any():
+            new = np.unique(points[own == UNKNOWN])
+            self.kinds[new] = kinds("".join(map(chr, new.tolist())))
+            own = self.kinds[points]
+        size = 2 + (points >= 0x800) + (points >= 0x10000)
+        kind[wide] = np.repeat(own, size)
+        # a class begins, other than after a space, which belongs to what follows
+        start = np.ones(n, bool)
+        start[1:] = (kind[1:] != kind[:-1]) & (data[:-1] != 0x20)
+        # the last white space before something else is no part of the run before it
+        white = kind == SPACE
+        start[1:-1] |= white[1:-1] & ~white[2:] & ~first[2:]
+        spaces = np.flatnonzero(own == SPACE)
+        if len(spaces):
+            last = wide[np.cumsum(size)[spaces] - 1]
+            moved = last[start[last]] - size[spaces][start[last]] + 1
+            start[last] = False
+            start[moved] = True
+        start[begins] = True
+        # 's 't 'm 'd 're 've 'll where no run of marks is before them
+        marks = np.flatnonzero((data[:-1] == 0x27) & start[:-1] & ~first[1:])
+        a, b = data[marks + 1], data[np.minimum(marks + 2, n - 1)]
+        pair = ((a == 0x72) | (a == 0x76)) & (b == 0x65) | (a == 0x6C) & (b == 0x6C)
+        pair &= (marks + 2 < n) & ~first[np.minimum(marks + 2, n - 1)]
+        short = (a == 0x73) | (a == 0x74) | (a == 0x6D) | (a == 0x64)
+        start[marks[short | pair] + 1] = False
+        after = np.concatenate([marks[short] + 2, marks[pair] + 3])
+        start[after[after < n]] = True
+        return np.flatnonzero(start)
+
+    def distinct(self, pieces: pa.BinaryArray) -> np.ndarray:
+        """Tokens of each of many different pieces; those that are not remembered are merged together."""
+        where = pc.fill_null(pc.index_in(pieces, self.held), -1).to_numpy()
+        new = np.flatnonzero(where < 0)
+        fresh = pieces.take(pa.array(new))
+        out = np.empty(len(pieces), np.int64)
+        old = where >= 0
+        out[old] = self.counts[where[old]]
+        out[new] = counts = self.merge(fresh)
+        if len(self.held) + len(fresh) > KEPT:  # the pieces of these texts stay
+            self.held, self.counts, fresh, counts = self.held[:0], self.counts[:0], pieces, out
+        short = pc.binary_length(fresh).to_numpy() <= LONGEST
+        self.held, self.counts = pa.concat_arrays([self.held, fresh.filter(pa.array(short))]), np.concatenate([self.counts, counts[short]])
+        return out
 
     def together(self, texts: list[str]) -> list[int]:
         """Tokens of each text. The words of all are counted first; texts that are not cut at single spaces are counted as before."""
@@ -260,58 +349,60 @@ class Many(Counter):
             self.known[w] = sum(self.known[p[1:]] if p[0] == " " and len(p) > 1 else self.pieces[p] for p in own)
 
     def merged(self, pieces: list[str]) -> list[int]:
+        """Tokens of each of many pieces."""
+        return self.merge(pa.array([p.encode() for p in pieces], pa.binary())).tolist()
+
+    def merge(self, pieces: pa.BinaryArray) -> np.ndarray:
         """Tokens of each of many pieces. Long ones go to the heap, as rounds would be as many as merges."""
-        out = np.zeros(len(pieces), np.int64)
-        data = [p.encode() for p in pieces]
-        lengths = np.fromiter(map(len, data), np.int64, len(data))
-        for i in np.flatnonzero(lengths > 4 * LONGEST).tolist():
-            out[i] = self.piece(pieces[i])
+        out, lengths = np.zeros(len(pieces), np.int64), pc.binary_length(pieces).to_numpy().astype(np.int64)
         order = np.argsort(lengths, kind="stable")
-        order = order[lengths[order] <= 4 * LONGEST]
-        for lo in range(0, len(order), PIECES_AT_ONCE):
-            own = order[lo : lo + PIECES_AT_ONCE]
-            out[own] = self.rounds(np.frombuffer(b"".join([data[i] for i in own.tolist()]), np.uint8).astype(np.int64), lengths[own])
-        return out.tolist()
+        lengths = lengths[order]
+        most = int(np.searchsorted(lengths, 4 * LONGEST, "right"))
+        for i in order[most:].tolist():
+            out[i] = self.piece(pieces[i].as_py().decode())
+        if not most:
+            return out
+        data, ends = np.frombuffer(pieces.take(pa.array(order[:most])).buffers()[2], np.uint8), np.concatenate([[0], np.cumsum(lengths[:most])])
+        lo = 0
+        while lo < most:
+            # pieces of a table are about as long
+            hi = min(lo + PIECES_AT_ONCE, int(np.searchsorted(lengths[:most], lengths[lo] * 5 // 4 + 1, "right")))
+            out[order[lo:hi]] = self.rounds(data[ends[lo] : ends[hi]], lengths[lo:hi])
+            lo = hi
+        return out
 
     def rounds(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Symbols that are left of each piece when no pair merges any more.
 
-        Pieces stand one after the other, each a linked list. A place holds the rank of its pair with the one after it, and the place
-        itself in the lower bits: the least number of a piece is its lowest pair, the first of equal ones.
+        A row of a table has the symbols of a piece, and a row of another one the ranks of their pairs, of which the lowest merges, the
+        first of equal ones. All rows lose a symbol in a round; those that lose none are done and leave.
         """
-        left, n = lengths.copy(), len(symbols)
-        ends = np.cumsum(lengths)
-        starts, bits = ends - lengths, int(n).bit_length()
-        before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
-        before[starts], after[ends - 1] = -1, -1
-        lowest = np.full(n, NEVER, np.int64)
-        rank = self.bytes[symbols[:-1] << 8 | symbols[1:]]
-        at = np.flatnonzero((rank < NEVER) & (after[:-1] >= 0))
-        lowest[at] = rank[at] << bits | at
-
-        def paired(at: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-            rank = self.table.of(a * self.size + b)
-            lowest[at] = np.where(rank < NEVER, rank << bits | at, NEVER)
-
-        while True:
-            best = np.minimum.reduceat(lowest, starts)
-            some = np.flatnonzero(best < NEVER)
-            if not len(some):
-                return left
-            left[some] -= 1
-            best = best[some]
-            i = best & ((1 << bits) - 1)
-            new = self.symbols[best >> bits]
-            j = after[i]
-            k = after[j]
-            symbols[i], after[i] = new, k
-            lowest[i] = lowest[j] = NEVER
-            has = np.flatnonzero(k >= 0)
-            before[k[has]] = i[has]
-            paired(i[has], new[has], symbols[k[has]])
-            h = before[i]
-            has = np.flatnonzero(h >= 0)
-            paired(h[has], symbols[h[has]], new[has])
+        left, rows = lengths.astype(np.int64), np.arange(len(lengths))
+        inside = np.arange(lengths.max()) < lengths[:, None]
+        table = np.zeros(inside.shape, np.int64)
+        table[inside] = symbols
+        lowest = self.bytes[table[:, :-1] << 8 | table[:, 1:]]
+        lowest[~inside[:, 1:]] = NEVER
+        while lowest.size:
+            j = lowest.argmin(1)
+            best = lowest[np.arange(len(rows)), j]
+            some = best < NEVER
+            if not some.all():
+                rows, table, lowest, j, best = rows[some], table[some], lowest[some], j[some], best[some]
+            left[rows] -= 1
+            n, width = table.shape
+            columns, i, new = np.arange(width), np.arange(n), self.symbols[best]
+            table = table[columns != j[:, None] + 1].reshape(n, width - 1)
+            lowest = lowest[columns[:-1] != j[:, None]].reshape(n, width - 2)
+            table[i, j] = new
+            a, b = np.flatnonzero(j + 1 < left[rows]), np.flatnonzero(j > 0)
+            keys = np.concatenate([new[a] * self.size + table[a, j[a] + 1], table[b, j[b] - 1] * self.size + new[b]])
+            rank = self.table.of(keys)
+            lowest[a, j[a]], lowest[b, j[b] - 1] = rank[: len(a)], rank[len(a) :]
+            # what is behind the end of a piece never merges
+            end = np.flatnonzero((j + 1 >= left[rows]) & (j < width - 2))
+            lowest[end, j[end]] = NEVER
+        return left
 
 
 def tokenizer_file(tokenizer: str = TOKENIZER) -> str:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 from oracle import DATA
 from tokenizers import Tokenizer
 
@@ -91,3 +94,38 @@ def test_ranks_that_no_training_gives(seed):
     words = ["".join(rng.choices("abc", k=rng.randint(1, 40))) for _ in range(300)]
     one = bpe.Counter(definition)
     assert bpe.Many(definition).merged(words) == [one.piece(w) for w in words]
+
+
+def test_no_word_is_looked_at_by_itself(spark, definition, monkeypatch):
+    """Texts are cut, and new pieces merged, in arrays; a regular expression or a heap for each word is too slow."""
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    expected = [bpe.Counter(definition).text(t) for t in texts[:50]]
+    own = bpe.Many(definition)
+    for name in ("find", "learn", "piece", "word", "text"):
+        monkeypatch.setattr(own, name, lambda *_: 1 / 0)
+    assert own.texts(pa.array(texts))[:50] == expected
+
+
+def test_cuts_are_those_of_the_expression(definition):
+    """All short texts of some characters, and random longer ones, with others before and behind them."""
+    rng, own, find = random.Random(4), bpe.Many(definition), regex.compile(bpe.PIECES).findall
+    odd = [" ", " ", "\n", "\t", "'", "'", *"stmdrevl", "S", "a", "é", "数", "😀", "\u0301", "1", "²", "٣", "!", "\u00a0", "\u2003", "\u3000", "\x1c", "\x85", "\u200b", "\x00", "×", "ª"]
+    texts = ["".join(t) for n in (1, 2, 3) for t in itertools.product(odd[1:], repeat=n)]
+    texts += ["".join(rng.choices(odd, k=rng.randint(4, 40))) for _ in range(5000)]
+    rng.shuffle(texts)
+    data = [t.encode() for t in texts]
+    ends = np.cumsum([len(d) for d in data])
+    at = own.cut(np.frombuffer(b"".join(data), np.uint8), ends - [len(d) for d in data]).tolist()
+    whole = b"".join(data)
+    assert [whole[a:b].decode() for a, b in itertools.pairwise([*at, len(whole)])] == [p for t in texts for p in find(t)]
+
+
+def test_slices_nulls_and_special_strings(library, definition, monkeypatch):
+    monkeypatch.setattr(bpe, "TEXTS", 30)
+    texts = [None, "", *ODD, None, "a <|endoftext|>", "<|endoftext|> \u00a0 x\u2003y", "", None]
+    expected = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    own = bpe.Many(definition)
+    for kind in (pa.string(), pa.large_string()):
+        for lo, hi in ((0, len(texts)), (3, 20), (5, 5), (0, 2), (len(texts) - 2, len(texts))):
+            assert own.texts(pa.array(texts, kind).slice(lo, hi - lo)) == expected[lo:hi]
+    assert own.texts(pa.nulls(2)) == [0, 0]
