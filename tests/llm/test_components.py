@@ -52,3 +52,16 @@ def test_rounds_of_stars(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT", 20)
     rng = random.Random(4)
     check(spark, [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(120)] + [(0, i) for i in range(300, 500)] + [(i, i + 1) for i in range(600, 700)])
+
+
+def test_rounds_are_small_plans_and_end_early(spark, monkeypatch):
+    """The driver never plans a whole round at once, and what fits into one task after a round goes there."""
+    plans, counts = [], []
+    work, state = components.cut, components._state
+    monkeypatch.setattr(components, "CHUNK", 150)
+    monkeypatch.setattr(components, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or work(df))
+    monkeypatch.setattr(components, "_state", lambda edges: counts.append(state(edges)) or counts[-1])
+    check(spark, [(7 * i % 100, 7 * (i + k) % 100) for i in range(100) for k in (1, 2, 3)])
+    assert counts[0][0] > 150 >= counts[-1][0]
+    assert all(n[0] > 150 for n in counts[:-1])
+    assert max(p.count("Join ") for p in plans) <= 2
